@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import id_and_text, map_columns, read_table
-from tidemark.llm.pieces import Memory, cut
+from tidemark.llm.pieces import Memory, Pieces, cut
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -64,6 +64,8 @@ class Codec:
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(pairs):
             self.merge.setdefault((vocab[raw(a)], vocab[raw(b)]), (rank, vocab[raw(a) + raw(b)]))
+        self.rank_of = {a << 20 | b: rank for (a, b), (rank, _) in self.merge.items()}
+        self.made = [vocab[raw(a) + raw(b)] for a, b in pairs]
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.size_of = {i: len(t) for i, t in self.bytes_of.items()}
         self.split = regex.compile(PATTERN)
@@ -74,31 +76,28 @@ class Codec:
             flat += t
         self.flat = np.frombuffer(bytes(flat), np.uint8)
         self._words = Memory(lambda w: self.encode_word(w.encode()))
-        self._first = Memory(self._piece, 50_000)
-        self._later = Memory(lambda p: self._piece(" " + p))
+        self._known = Pieces(self._piece, lambda *parts: (",".join(names for names, _ in parts), b"".join(packed for _, packed in parts)))
 
     # -- encoding -------------------------------------------------------------
 
     def _whole(self, data: bytes) -> list[int]:
-        """The ids of bytes that are all there is of a word: merges in rank order."""
+        """The ids of bytes that are all there is of a word: merges in rank order, leftmost first."""
         ids = [self.single[b] for b in data]
         if len(ids) > 48:
             return self._whole_long(ids)
-        merge = self.merge
-        while len(ids) > 1:
-            best = min((merge[p] + (k,) for k, p in enumerate(zip(ids, ids[1:])) if p in merge), default=None)  # noqa: B905
-            if best is None:
+        rank_of, made, none = self.rank_of, self.made, len(self.made)
+        ranks = [rank_of.get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
                 break
-            rank, new, _ = best
-            out, k = [], 0
-            while k < len(ids):
-                if k + 1 < len(ids) and merge.get((ids[k], ids[k + 1])) == (rank, new):
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+            k = ranks.index(rank)
+            ids[k] = new = made[rank]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank_of.get(ids[k - 1] << 20 | new, none)
+            if k < len(ranks):
+                ranks[k] = rank_of.get(new << 20 | ids[k + 1], none)
         return ids
 
     def _whole_long(self, ids: list[int]) -> list[int]:
@@ -161,9 +160,9 @@ class Codec:
         """(decimal ids joined by commas, packed ids) of runs of pieces, in order."""
         first, *rest = cut(text)
         if first:
-            yield self._first[first]
+            yield self._known.head[first]
         for k in range(0, len(rest), BLOCK):
-            names, packed = zip(*map(self._later.__getitem__, rest[k : k + BLOCK]), strict=True)
+            names, packed = zip(*map(self._known.tail.__getitem__, rest[k : k + BLOCK]), strict=True)
             yield ",".join(names), b"".join(packed)
 
     # -- decoding -------------------------------------------------------------

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_and_text, map_columns, read_table, settle
-from tidemark.llm.pieces import Memory, cut
+from tidemark.llm.pieces import Pieces, cut
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 
@@ -173,11 +173,11 @@ def encoder(path: str):
         tok.no_truncation()
         tok.no_padding()
         ids = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        head, tail = Memory(ids, 50_000), Memory(lambda p: ids(" " + p))
+        known = Pieces(ids, lambda *parts: b"".join(parts))
 
         def encode(text: str) -> bytes:
             first, *rest = cut(text)
-            return head[first] + b"".join(map(tail.__getitem__, rest))
+            return known.head[first] + b"".join(map(known.tail.__getitem__, rest))
 
         _ENCODER[path] = encode
     return _ENCODER[path]

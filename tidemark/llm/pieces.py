@@ -23,7 +23,7 @@ class Memory(dict):
 
     LONG = 64
 
-    def __init__(self, make, size: int = 200_000):
+    def __init__(self, make, size: int = 300_000):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
@@ -38,3 +38,30 @@ class Memory(dict):
             value = self.make(key)
         self[key] = value
         return value
+
+
+#: Ends of a word that are tokens' starts for sure: they can't share a pre-token with letters.
+_ENDS = frozenset(",.!?;:")
+
+
+class Pieces:
+    """What pieces encode to. ``encode`` takes text; ``join`` puts results together.
+
+    A word with one mark behind it, and lines in a piece, are put together from
+    their parts, so that only words themselves are encoded. Both splits are at
+    places where pre-tokens end: between letters and a mark at the end, and
+    around a single line end between non-blanks.
+    """
+
+    def __init__(self, encode, join):
+        self.encode, self.join, self.line = encode, join, encode("\n")
+        self.mark = {c: encode(c) for c in _ENDS}
+        self.head, self.tail = Memory(lambda p: self._make(p, self.head, ""), 60_000), Memory(lambda p: self._make(p, self.tail, " "))
+
+    def _make(self, piece: str, own: Memory, before: str):
+        if piece[-1:] in self.mark and piece[:-1].isalpha():
+            return self.join(own[piece[:-1]], self.mark[piece[-1]])
+        a, line, b = piece.partition("\n")
+        if line and a and b and (a[-1].isalnum() or a[-1] in _ENDS) and b[0].isalnum():
+            return self.join(own[a], self.line, self.head[b])
+        return self.encode(before + piece)
