@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, map_columns, read_table, settle
+from tidemark.llm.common import id_and_text, map_columns, read_table, store
 
 CHUNKS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("nth", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 #: Gear values: one 32-bit number for each byte, drawn from a fixed hash.
@@ -102,7 +102,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """
     rows = chunks(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, bits, least, most)
     # Stored once: the chunks are read for the counts and again for the spans.
-    rows = settle(rows)
+    rows = store(rows)
     shared = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hi", "lo", "first")
     hits = rows.join(shared, ["hi", "lo"]).dropDuplicates(["doc_id", "row", "nth"])
     hits = hits.withColumn("removed", F.col("doc_id") != F.col("first"))
