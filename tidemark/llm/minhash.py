@@ -12,6 +12,7 @@ on the whole texts.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from tidemark.llm.pieces import Memory
 WIDTH, BANDS, ROWS = 5, 25, 5
 REGISTERS = BANDS * ROWS
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SHAPED = pa.schema([("doc_id", pa.int64()), ("sh", pa.binary())])
 _WORD = Memory(lambda w: xxhash.xxh64_intdigest(w))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -83,21 +85,24 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return keys.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of J_P of the weighted shingles and the plain Jaccard of the sets; 0 for empty ones."""
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """J_P of weighted shingles, the quantity that signatures estimate; 0 for empty ones."""
     _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(ia):
         return 0.0
-    plain = len(ia) / (len(a[0]) + len(b[0]) - len(ia))
     x, y = a[1][ia].astype(float), b[1][ib].astype(float)
     # Elements by falling x/y; those of a alone are ahead of all, those of b alone behind.
     order = np.argsort(-(x / y), kind="stable")
     x, y = x[order], y[order]
     ahead = np.cumsum(x) + (a[1].sum() - x.sum())
     behind = np.cumsum(y[::-1])[::-1] - y + (b[1].sum() - y.sum())
-    return max(plain, float((1 / (ahead / x + behind / y)).sum()))
+    return float((1 / (ahead / x + behind / y)).sum())
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two sets of distinct hashes; 0 for empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -161,28 +166,78 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     if key not in known:
                         if held > 1_000_000:
                             known, held = {}, 0
-                        known[key] = shingles(words(text))
-                        held += len(known[key][0])
-                sa = known[a] if a in known else shingles(words(ta))
-                keep.append(similarity(sa, known[b]) >= threshold)
+                        known[key] = shingles(words(text))[0]
+                        held += len(known[key])
+                sa = known[a] if a in known else shingles(words(ta))[0]
+                keep.append(jaccard(sa, known[b]) >= threshold)
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def across(rest: DataFrame, texts: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Links (a, b) between the classes of a bucket; ``rest`` has key, doc_id, root and the bucket's size n.
+
+    A bucket is dealt into blocks, and each pair of blocks is one group of at
+    most 2 x ``block`` or so documents. Inside, products of the blocks' shingle
+    matrices give all intersections at once, and one link for each two classes
+    leaves the group, never its pairs.
+    """
+
+    def shaped():
+        def step(batch):
+            return {"doc_id": batch.column("doc_id"), "sh": [shingles(words(t))[0].tobytes() for t in batch.column("text").to_pylist()]}
+
+        return step
+
+    used = rest.select("doc_id").distinct()
+    shape = map_columns(texts.join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shaped, SHAPED)
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "doc_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(shape, "doc_id")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(h, np.uint64) for h in pdf["sh"]]
+        doc, root = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy()
+        names, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+        shared = seen[column] > 1  # the others are in no intersection
+        order = np.cumsum(seen > 1) - 1
+        r, c, width = row[shared], order[column[shared]], int((seen > 1).sum())
+        size = np.array([len(h) for h in sets], np.float64)
+        one, two = np.flatnonzero(pdf["own"].to_numpy() == pdf["i"].iloc[0]), np.flatnonzero(pdf["own"].to_numpy() == pdf["j"].iloc[0])
+        common = np.zeros((len(one), len(two)), np.float32)
+        for at in range(0, width, 4096):  # some columns at a time
+            part = (c >= at) & (c < at + 4096)
+            has = np.zeros((len(sets), min(4096, width - at)), np.float32)
+            has[r[part], c[part] - at] = 1
+            common += has[one] @ has[two].T
+        good = common / (size[one][:, None] + size[two][None, :] - common) >= threshold - 1e-6
+        x, y = np.nonzero(good & (root[one][:, None] != root[two][None, :]))
+        x, y = one[x], two[y]
+        ends = np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y])])
+        first = np.unique(ends, axis=1, return_index=True)[1] if len(x) else np.zeros(0, int)
+        x, y = x[first], y[first]
+        return pd.DataFrame({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", small: int = 64) -> DataFrame:
     """One row per input row: doc_id, class_id, kept.
 
-    Documents whose shingles of five words are similar (see ``similarity``) to
-    ``threshold`` are linked; a class is what links connect, class_id its
+    Documents whose shingles of five words are similar (Jaccard of their sets)
+    to ``threshold`` are linked; a class is what links connect, class_id its
     smallest doc_id, and that document is kept. Words are what blanks separate,
     in lower case. Texts without words (null, empty, blank) are each a class of
     their own, as are rows without an id (class_id null). Rows that share an id
     are one document. Other columns are not read.
 
     Buckets of any size are handled whole: members are first compared with
-    their bucket's first document; then members that are still in different
-    classes are compared with each other.
+    their bucket's first document, then all of them that are still in different
+    classes with each other, so no link between classes is lost: in buckets of
+    ``small`` members by their signatures first, in larger ones block by block.
     """
     base = docs.filter(F.col(id_col).isNotNull())
     sigs = settle(signed(base, id_col, text_col))
@@ -196,16 +251,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("key", "a")
     crowded = settle(rows.join(buckets, "key"))
     texts = id_and_text(base, id_col, text_col)
-    star = crowded.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = settle(verified(estimated(star, reps.select("doc_id", "sig"), threshold - 0.16), texts, threshold).distinct())
+    sig = reps.select("doc_id", "sig")
+    links = settle(verified(estimated(crowded.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), sig, threshold - 0.16), texts, threshold).distinct())
     found = settle(components(links, "a", "b"))
-    # Whatever a bucket's first document did not join is compared across classes.
+    # Buckets whose members are still in different classes.
     labelled = crowded.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
-    rest = settle(labelled.join(open_keys, "key", "left_semi"))
-    other = rest.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-    cross = rest.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")).join(other, "key").filter("a < b AND ra <> rb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = settle(verified(estimated(cross, reps.select("doc_id", "sig"), threshold - 0.16), texts, threshold).distinct())
+    split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 < r1").select("key", "n")
+    rest = settle(labelled.join(split, "key"))
+    few = rest.filter(F.col("n") <= small)
+    other = few.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
+    pairs = few.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")).join(other, "key").filter("a < b AND ra <> rb").select("a", "b").distinct()
+    blocks = across(rest.filter(F.col("n") > small), texts, threshold)
+    more = settle(verified(estimated(pairs, sig, threshold - 0.16).unionByName(blocks), texts, threshold).distinct())
     if not more.isEmpty():
         found = settle(components(links.unionByName(more), "a", "b"))
     linked = member.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
