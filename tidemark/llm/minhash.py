@@ -186,7 +186,7 @@ def across(rest: DataFrame, texts: DataFrame, threshold: float, block: int = 102
 
     def shaped():
         def step(batch):
-            return {"doc_id": batch.column("doc_id"), "sh": [shingles(words(t))[0].tobytes() for t in batch.column("text").to_pylist()]}
+            return {"doc_id": batch.column("doc_id"), "sh": [np.unique((shingles(words(t))[0] >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]}
 
         return step
 
@@ -198,7 +198,7 @@ def across(rest: DataFrame, texts: DataFrame, threshold: float, block: int = 102
     dealt = dealt.select("key", "doc_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(shape, "doc_id")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(h, np.uint64) for h in pdf["sh"]]
+        sets = [np.frombuffer(h, np.uint32) for h in pdf["sh"]]  # half a hash: what is found is verified on the texts
         doc, root = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy()
         names, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
@@ -213,7 +213,7 @@ def across(rest: DataFrame, texts: DataFrame, threshold: float, block: int = 102
             has = np.zeros((len(sets), min(4096, width - at)), np.float32)
             has[r[part], c[part] - at] = 1
             common += has[one] @ has[two].T
-        good = common / (size[one][:, None] + size[two][None, :] - common) >= threshold - 1e-6
+        good = common / (size[one][:, None] + size[two][None, :] - common) >= threshold - 1e-3
         x, y = np.nonzero(good & (root[one][:, None] != root[two][None, :]))
         x, y = one[x], two[y]
         ends = np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y])])
@@ -224,7 +224,7 @@ def across(rest: DataFrame, texts: DataFrame, threshold: float, block: int = 102
     return dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", small: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", small: int = 12) -> DataFrame:
     """One row per input row: doc_id, class_id, kept.
 
     Documents whose shingles of five words are similar (Jaccard of their sets)
