@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, map_columns, read_table, settle
+from tidemark.llm.common import id_and_text, map_columns, read_table, settle, store
 from tidemark.llm.components import components
 from tidemark.llm.pieces import Memory
 
 WIDTH, BANDS, ROWS = 5, 25, 5
 REGISTERS = BANDS * ROWS
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary())])
 SHAPED = pa.schema([("doc_id", pa.int64()), ("sh", pa.binary())])
 _WORD = Memory(lambda w: xxhash.xxh64_intdigest(w))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -77,12 +77,11 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
     return (_mix(owner) >> np.uint64(32)).astype(np.uint32).reshape(-1, registers)
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    keys = np.zeros((len(sig), bands), np.uint64) + np.arange(bands, dtype=np.uint64) * _ODD[2]
-    parts = sig.reshape(len(sig), bands, rows).astype(np.uint64)
-    for j in range(rows):
-        keys = _mix(keys * _ODD[3] + parts[:, :, j] * _ODD[j % 5])
-    return keys.view(np.int64)
+def band_rows(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, key) for each band of a signature; equal keys mean equal registers of one band."""
+    size = 4 * rows
+    keys = [F.xxhash64(F.lit(j), F.substring("sig", j * size + 1, size)) for j in range(bands)]
+    return sigs.select("doc_id", F.explode(F.array(*keys)).alias("key"))
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -112,9 +111,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets: list = []
 
             def flush():
-                sig = signatures(sets)
-                out["sig"] += [r.tobytes() for r in sig]
-                out["bands"] += list(band_keys(sig))
+                out["sig"] += [r.tobytes() for r in signatures(sets)]
                 sets.clear()
 
             held = 0
@@ -152,30 +149,28 @@ def estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of documents whose similarity is ``threshold`` or more, by their whole texts."""
-    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = texts.join(used, "doc_id", "left_semi")
-    both = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+def shapes(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """(doc_id, sh) of the documents in ``used``: the sorted hashes of a text's distinct shingles, 8 bytes each."""
+
+    def start():
+        return lambda batch: {"doc_id": batch.column("doc_id"), "sh": [shingles(words(t))[0].tobytes() for t in batch.column("text").to_pylist()]}
+
+    return map_columns(texts.join(used, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), start, SHAPED)
+
+
+def verified(pairs: DataFrame, shape: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of documents whose similarity is ``threshold`` or more, by the shingles of their whole texts."""
+    both = pairs.join(shape.select(F.col("doc_id").alias("a"), F.col("sh").alias("ha")), "a").join(shape.select(F.col("doc_id").alias("b"), F.col("sh").alias("hb")), "b")
 
     def run(batches):
         for t in batches:
-            keep, known, held = [], {}, 0
-            for a, b, ta, tb in zip(*(t.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                for key, text in ((a, ta), (b, tb)):
-                    if key not in known:
-                        if held > 1_000_000:
-                            known, held = {}, 0
-                        known[key] = shingles(words(text))[0]
-                        held += len(known[key])
-                sa = known[a] if a in known else shingles(words(ta))[0]
-                keep.append(jaccard(sa, known[b]) >= threshold)
+            keep = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= threshold for x, y in zip(t.column("ha"), t.column("hb"), strict=True)]
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def across(rest: DataFrame, texts: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+def across(rest: DataFrame, shape: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     """Links (a, b) between the classes of a bucket; ``rest`` has key, doc_id, root and the bucket's size n.
 
     A bucket is dealt into blocks, and each pair of blocks is one group of at
@@ -184,18 +179,16 @@ def across(rest: DataFrame, texts: DataFrame, threshold: float, block: int = 102
     leaves the group, never its pairs.
     """
 
-    def shaped():
-        def step(batch):
-            return {"doc_id": batch.column("doc_id"), "sh": [np.unique((shingles(words(t))[0] >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]}
-
-        return step
+    def halved(batches):
+        for t in batches:
+            half = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32) for x in t.column("sh")]
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array([np.unique(h).tobytes() for h in half], pa.binary())], schema=SHAPED)
 
-    used = rest.select("doc_id").distinct()
-    shape = map_columns(texts.join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shaped, SHAPED)
+    half = shape.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sh").mapInArrow(halved, "doc_id long, sh binary")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "doc_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(shape, "doc_id")
+    dealt = dealt.select("key", "doc_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(half, "doc_id")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(h, np.uint32) for h in pdf["sh"]]  # half a hash: what is found is verified on the texts
@@ -240,29 +233,31 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     ``small`` members by their signatures first, in larger ones block by block.
     """
     base = docs.filter(F.col(id_col).isNotNull())
-    sigs = settle(signed(base, id_col, text_col))
+    sigs = store(signed(base, id_col, text_col))
     worded = sigs.filter("n > 0")
     same = worded.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
     member = worded.select("doc_id", "c1", "c2").join(same, ["c1", "c2"]).select("doc_id", "rep")
-    # Signatures and texts of the representatives: one document for each different text.
+    # Signatures of the representatives: one document for each different text.
     firsts = same.select(F.col("rep").alias("doc_id"), "c1", "c2")
-    reps = settle(worded.join(firsts, ["doc_id", "c1", "c2"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"]).select("doc_id", "sig", "bands"))
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+    reps = store(worded.join(firsts, ["doc_id", "c1", "c2"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"]).select("doc_id", "sig"))
+    rows = band_rows(reps)
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("key", "a")
-    crowded = settle(rows.join(buckets, "key"))
-    texts = id_and_text(base, id_col, text_col)
-    sig = reps.select("doc_id", "sig")
-    links = settle(verified(estimated(crowded.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), sig, threshold - 0.16), texts, threshold).distinct())
+    crowded = store(rows.join(buckets, "key"))
+    # From here on only documents that share a bucket: their signatures, and the shingles of their texts.
+    used = settle(crowded.select("doc_id").distinct())
+    sig = store(reps.join(used, "doc_id", "left_semi"))
+    shape = store(shapes(id_and_text(base, id_col, text_col), used))
+    links = settle(verified(estimated(crowded.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), sig, threshold - 0.16), shape, threshold).distinct())
     found = settle(components(links, "a", "b"))
     # Buckets whose members are still in different classes.
     labelled = crowded.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 < r1").select("key", "n")
-    rest = settle(labelled.join(split, "key"))
+    rest = store(labelled.join(split, "key"))
     few = rest.filter(F.col("n") <= small)
     other = few.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
     pairs = few.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")).join(other, "key").filter("a < b AND ra <> rb").select("a", "b").distinct()
-    blocks = across(rest.filter(F.col("n") > small), texts, threshold)
-    more = settle(verified(estimated(pairs, sig, threshold - 0.16).unionByName(blocks), texts, threshold).distinct())
+    blocks = across(rest.filter(F.col("n") > small), shape, threshold)
+    more = settle(verified(estimated(pairs, sig, threshold - 0.16).unionByName(blocks), shape, threshold).distinct())
     if not more.isEmpty():
         found = settle(components(links.unionByName(more), "a", "b"))
     linked = member.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
