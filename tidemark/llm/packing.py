@@ -9,6 +9,7 @@ their length and looked up in the shapes, which is a plain distributed map.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -172,7 +173,11 @@ def encoder(path: str):
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        ids = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+        def ids(text: str) -> bytes:
+            found = tok.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
+
         known = Pieces(ids, lambda *parts: b"".join(parts))
 
         def encode(text: str) -> bytes:
