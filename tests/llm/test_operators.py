@@ -184,6 +184,17 @@ def test_pii_disclosing_terms(spark):
     assert all(got[100 + i] == "the plan about other mail" for i in range(60))
 
 
+def test_pii_terms_of_rare_entities(spark):
+    rows = [(1, "quorvath wrote from ann@x.org about the plan"), (2, "the plan of fennimore by eve@acme.io"), (3, "fennimore has the plan and joe@acme.io"), (4, "the lonely word")]
+    rows += [(100 + i, "the plan wrote from about other mail of has and by") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in pii.sanitise(d).collect()}
+    # A name beside an entity of one document, and one that goes with two addresses of a domain.
+    assert got[1] == "[TERM] wrote from [EMAIL] about the plan"
+    assert got[2] == "the plan of [TERM] by [EMAIL]" and got[3] == "[TERM] has the plan and [EMAIL]"
+    assert all(got[i] == t for i, t in rows if i >= 4)
+
+
 def test_language_spans_and_edges(spark, edge):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(langid.train_rows(docs))

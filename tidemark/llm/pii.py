@@ -3,7 +3,7 @@
 Base patterns find the protected entities themselves (e-mail, IP, card, phone).
 Over the whole corpus, the pointwise mutual information of a term and an entity
 tells how much of the entity's information IC(e) = -log2 p(e) the term gives
-away. Terms that disclose too large a share of it are removed, and those that
+away; it is a lower bound, so that rare entities count as well. Terms that disclose too large a share of it are removed, and those that
 disclose a smaller but notable share are generalised.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table, settle
+from tidemark.llm.common import read_table, settle, store
 
 KINDS = ("email", "ip", "card", "phone")
 #: Marks put around matches; in texts they are first replaced by a character of the same length.
@@ -106,25 +106,42 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosing_terms(scanned: DataFrame, docs: DataFrame, remove_at: float, generalise_at: float, support: int) -> DataFrame:
-    """(kind, entity, term, action) over the corpus.
+def held_terms(scanned: DataFrame) -> DataFrame:
+    """(row, w, holder, n_e, term): each term of a row's text with each holder of the row; w is how often the row is there.
 
-    A term counts for an entity if both are together in ``support`` documents
-    at least; fewer say nothing about probabilities. The share of IC(e) it
-    discloses is PMI(e; t) / IC(e).
+    A holder is a set of rows that an entity or an e-mail domain occurs in, n_e
+    of them. Entities of the same rows have the same counts with every term, so
+    they are one holder: a text with many addresses that are nowhere else has
+    one, not as many as addresses.
     """
-    with_any = scanned.filter(F.size("base") > 0)
-    entities = with_any.select("row", "text", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["entity"].alias("entity"))))).alias("e")).select("row", "text", "e.*")
-    known = entities.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    together = entities.join(known, ["kind", "entity"]).select("kind", "entity", "n_e", F.explode(_terms(F.col("text"))).alias("term"))
-    together = settle(together.groupBy("kind", "entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support))
+    carriers = scanned.filter(F.size("base") > 0).groupBy("row").agg(F.count(F.lit(1)).alias("w"), F.first("text").alias("text"), F.first("base").alias("base"))
+    names = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["entity"].alias("entity")))
+    domains = F.transform(F.filter("base", lambda s: s["kind"] == "email"), lambda s: F.struct(F.lit("domain").alias("kind"), F.substring_index(s["entity"], "@", -1).alias("entity")))
+    owned = carriers.select("row", "w", F.explode(F.array_distinct(F.concat(names, domains))).alias("e")).select("row", "w", "e.*")
+    mark = lambda seed: F.bit_xor(F.xxhash64("row", F.lit(seed)))
+    sets = owned.groupBy("kind", "entity").agg(F.sum("w").alias("n_e"), mark(1).alias("x1"), mark(2).alias("x2"))
+    held = owned.join(sets, ["kind", "entity"]).select("row", "w", F.xxhash64("n_e", "x1", "x2").alias("holder"), "n_e").distinct()
+    return held.join(carriers.select("row", "text"), "row").select("row", "w", "holder", "n_e", F.explode(_terms(F.col("text"))).alias("term"))
+
+
+def disclosing_terms(held: DataFrame, docs: DataFrame, total: int, remove_at: float, generalise_at: float, z: float) -> DataFrame:
+    """(holder, term, action) over the corpus.
+
+    The share of IC(e) that a term discloses is PMI(e; t) / IC(e), that is
+    log2(p(e|t) / p(e)) / -log2 p(e). p(e|t) is the lower end of its Wilson
+    interval of ``z`` standard errors, so few documents count for less but
+    rare entities are not left out.
+    """
+    together = held.groupBy("holder", "n_e", "term").agg(F.sum("w").alias("n_et")).filter(F.col("n_e") < total)
     frequency = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = F.lit(float(max(1, scanned.count())))
-    pmi = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t")))
-    share = pmi / F.log2(total / F.col("n_e"))
+    n = F.col("n_t")
+    p = F.least(F.col("n_et") / n, F.lit(1.0))
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    information = F.log2(F.lit(float(max(1, total))) / F.col("n_e"))
+    share = 1 + F.log2(low) / information
     return (
-        together.join(frequency, "term").filter(F.col("n_e") < total).withColumn("share", share).filter(F.col("share") >= generalise_at)
-        .select("kind", "entity", "term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
+        together.join(frequency, "term").withColumn("share", share).filter(F.col("share") >= generalise_at)
+        .select("holder", "term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
     )
 
 
@@ -144,11 +161,11 @@ def _term_spans(text: Column, flagged: Column) -> Column:
     return F.aggregate(rows, start, add)["out"]
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95, generalise_at: float = 0.85, support: int = 5) -> DataFrame:
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95, generalise_at: float = 0.85, z: float = 1.0) -> DataFrame:
     """One row per input row: doc_id, base and spans (arrays of start, order, end, kind, entity), row.
 
     base has the entities found by pattern; spans adds terms that disclose one
-    of the row's entities, of kind 'remove' (share of the entity's information
+    of the row's entities or their e-mail domains, of kind 'remove' (share of the entity's information
     of ``remove_at`` or more) or 'generalise' (``generalise_at`` or more), but
     not inside a base span. Null and empty text have none. ``row`` is a digest
     of id and text; rows that repeat both have the same spans. Terms are runs
@@ -159,9 +176,9 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     based = rows.select("doc_id", "row", base_spans(F.col("text")).alias("base"), "text")
     # Only texts with an entity are needed again.
     scanned = settle(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))))
-    rules = settle(disclosing_terms(scanned, rows, remove_at, generalise_at, support))
-    entities = scanned.filter(F.size("base") > 0).select("row", F.explode("base").alias("e")).select("row", "e.kind", "e.entity").distinct()
-    hits = entities.join(rules, ["kind", "entity"]).groupBy("row", "term").agg(F.max("action").alias("action"))
+    held = store(held_terms(scanned))
+    rules = settle(disclosing_terms(held, rows, scanned.count(), remove_at, generalise_at, z))
+    hits = held.select("row", "holder", "term").join(rules, ["holder", "term"]).groupBy("row", "term").agg(F.max("action").alias("action"))
     flagged = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("flagged"))
     # A row's flagged terms are terms of its own text: bounded by the text.
     joined = scanned.join(flagged, "row", "left")
