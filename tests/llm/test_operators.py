@@ -152,6 +152,14 @@ def test_large_buckets_lose_no_link(spark):
     assert {x.doc_id: x.class_id for x in minhash.near_duplicates(docs, small=4).collect()} == {i: find(i) for i in range(60)}
 
 
+def test_a_repeated_line_loses_no_link(spark):
+    base = [f"w{k}" for k in range(200)]
+    line = [f"v{k}" for k in range(10)]
+    docs = spark.createDataFrame([(i * 10 + j, " ".join(f"{i}{w}" for w in base + line * (40 * j))) for i in range(6) for j in (0, 1)], "doc_id long, text string")
+    for small in (12, 1):
+        assert {x.doc_id: x.class_id for x in minhash.near_duplicates(docs, small=small).collect()} == {i * 10 + j: i * 10 for i in range(6) for j in (0, 1)}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

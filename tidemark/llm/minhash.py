@@ -5,8 +5,10 @@ process whose rate is its weight; arrivals fall on random registers, and a
 register keeps the shingle that reaches it first. Two documents agree on a
 register with probability J_P, the probability Jaccard of their weighted
 shingles. An element stops as soon as its next arrival is later than all
-registers' first ones. Bands of registers give candidates; those are verified
-on the whole texts.
+registers' first ones. Links are by the Jaccard of the sets, which repeats in
+one text don't lower, so documents with repeats get a second signature with all
+weights 1. Bands of registers of both give candidates; those are verified on
+the whole texts.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_and_text, map_columns, read_table, settle, store
@@ -24,7 +26,7 @@ from tidemark.llm.pieces import Memory
 
 WIDTH, BANDS, ROWS = 5, 25, 5
 REGISTERS = BANDS * ROWS
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary()), ("flat", pa.binary())])
 SHAPED = pa.schema([("doc_id", pa.int64()), ("sh", pa.binary())])
 _WORD = Memory(lambda w: xxhash.xxh64_intdigest(w))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -78,10 +80,11 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
 
 
 def band_rows(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key) for each band of a signature; equal keys mean equal registers of one band."""
+    """(doc_id, m, key) for each band of a document's signatures; equal keys mean equal registers of one band."""
     size = 4 * rows
-    keys = [F.xxhash64(F.lit(j), F.substring("sig", j * size + 1, size)) for j in range(bands)]
-    return sigs.select("doc_id", F.explode(F.array(*keys)).alias("key"))
+    keys = lambda sig: F.array(*[F.xxhash64(F.lit(j), F.substring(sig, j * size + 1, size)) for j in range(bands)])
+    every = F.when(F.col("flat").isNull(), keys("sig")).otherwise(F.array_union(keys("sig"), keys("flat")))
+    return sigs.select("doc_id", F.col("n").alias("m"), F.explode(every).alias("key"))
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -112,6 +115,9 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
             def flush():
                 out["sig"] += [r.tobytes() for r in signatures(sets)]
+                repeats = [len(c) > 0 and int(c.max()) > 1 for _, c in sets]
+                flat = iter(signatures([(h, np.ones_like(c)) for (h, c), some in zip(sets, repeats, strict=True) if some]))
+                out["flat"] += [next(flat).tobytes() if some else None for some in repeats]
                 sets.clear()
 
             held = 0
@@ -136,17 +142,9 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_columns(id_and_text(docs, id_col, text_col), start, SIGNED)
 
 
-def estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose signatures agree on ``least`` of the registers."""
-    sig = sigs.select("doc_id", "sig")
-    both = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-
-    def run(batches):
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(t.num_rows, -1) for c in ("sa", "sb"))
-            yield t.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+def may_link(m: str, other: str, threshold: float) -> Column:
+    """False where two documents' numbers of shingles rule out a Jaccard of ``threshold``."""
+    return F.least(m, other) >= threshold * F.greatest(m, other) - 1e-6
 
 
 def shapes(texts: DataFrame, used: DataFrame) -> DataFrame:
@@ -230,7 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     Buckets of any size are handled whole: members are first compared with
     their bucket's first document, then all of them that are still in different
     classes with each other, so no link between classes is lost: in buckets of
-    ``small`` members by their signatures first, in larger ones block by block.
+    ``small`` members pair by pair, in larger ones block by block.
     """
     base = docs.filter(F.col(id_col).isNotNull())
     sigs = store(signed(base, id_col, text_col))
@@ -239,25 +237,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     member = worded.select("doc_id", "c1", "c2").join(same, ["c1", "c2"]).select("doc_id", "rep")
     # Signatures of the representatives: one document for each different text.
     firsts = same.select(F.col("rep").alias("doc_id"), "c1", "c2")
-    reps = store(worded.join(firsts, ["doc_id", "c1", "c2"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"]).select("doc_id", "sig"))
+    reps = store(worded.join(firsts, ["doc_id", "c1", "c2"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"]).select("doc_id", "n", "sig", "flat"))
     rows = band_rows(reps)
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("key", "a")
+    buckets = rows.groupBy("key").agg(F.min(F.struct("doc_id", "m")).alias("first"), F.max("doc_id").alias("z")).filter("first.doc_id < z").select("key", F.col("first.doc_id").alias("a"), F.col("first.m").alias("ma"))
     crowded = store(rows.join(buckets, "key"))
-    # From here on only documents that share a bucket: their signatures, and the shingles of their texts.
+    # From here on only documents that share a bucket: the shingles of their texts.
     used = settle(crowded.select("doc_id").distinct())
-    sig = store(reps.join(used, "doc_id", "left_semi"))
     shape = store(shapes(id_and_text(base, id_col, text_col), used))
-    links = settle(verified(estimated(crowded.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), sig, threshold - 0.16), shape, threshold).distinct())
+    stars = crowded.filter((F.col("doc_id") != F.col("a")) & may_link("m", "ma", threshold)).select("a", F.col("doc_id").alias("b")).distinct()
+    links = settle(verified(stars, shape, threshold).distinct())
     found = settle(components(links, "a", "b"))
     # Buckets whose members are still in different classes.
-    labelled = crowded.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    labelled = crowded.select("key", "doc_id", "m").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", "m", F.coalesce("root", "doc_id").alias("root"))
     split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 < r1").select("key", "n")
     rest = store(labelled.join(split, "key"))
     few = rest.filter(F.col("n") <= small)
-    other = few.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-    pairs = few.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")).join(other, "key").filter("a < b AND ra <> rb").select("a", "b").distinct()
+    other = few.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("m").alias("mb"))
+    pairs = few.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra"), "m").join(other, "key").filter("a < b AND ra <> rb").filter(may_link("m", "mb", threshold)).select("a", "b").distinct()
     blocks = across(rest.filter(F.col("n") > small), shape, threshold)
-    more = settle(verified(estimated(pairs, sig, threshold - 0.16).unionByName(blocks), shape, threshold).distinct())
+    more = settle(verified(pairs.unionByName(blocks), shape, threshold).distinct())
     if not more.isEmpty():
         found = settle(components(links.unionByName(more), "a", "b"))
     linked = member.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
