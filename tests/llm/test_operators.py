@@ -160,6 +160,16 @@ def test_a_repeated_line_loses_no_link(spark):
         assert {x.doc_id: x.class_id for x in minhash.near_duplicates(docs, small=small).collect()} == {i * 10 + j: i * 10 for i in range(6) for j in (0, 1)}
 
 
+def test_blocks_find_links_behind_borderline_pairs(spark):
+    def text(*parts):
+        return (np.concatenate([np.arange(a, b) for a, b in parts]).astype(np.uint64) << np.uint64(32)).tobytes()
+
+    # Documents 1 and 3 have 163 of 204 shingles in common, just under 0.8; 2 and 4, of the same classes, have 190 of 200.
+    shape = [(1, text((1, 164), (1000, 1020))), (2, text((2000, 2195))), (3, text((1, 164), (1100, 1121))), (4, text((2005, 2200)))]
+    rest = spark.createDataFrame([(7, 1, 1, 4), (7, 2, 1, 4), (7, 3, 3, 4), (7, 4, 3, 4)], "key long, doc_id long, root long, n long")
+    assert [tuple(r) for r in minhash.across(rest, spark.createDataFrame(shape, "doc_id long, sh binary"), 0.8).collect()] == [(2, 4)]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -173,23 +173,17 @@ def across(rest: DataFrame, shape: DataFrame, threshold: float, block: int = 102
 
     A bucket is dealt into blocks, and each pair of blocks is one group of at
     most 2 x ``block`` or so documents. Inside, products of the blocks' shingle
-    matrices give all intersections at once, and one link for each two classes
-    leaves the group, never its pairs.
+    matrices give all intersections at once, exactly, and one link for each two
+    classes leaves the group, never its pairs.
     """
 
-    def halved(batches):
-        for t in batches:
-            half = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32) for x in t.column("sh")]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array([np.unique(h).tobytes() for h in half], pa.binary())], schema=SHAPED)
-
-    half = shape.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sh").mapInArrow(halved, "doc_id long, sh binary")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "doc_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(half, "doc_id")
+    dealt = dealt.select("key", "doc_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(shape.select("doc_id", "sh"), "doc_id")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(h, np.uint32) for h in pdf["sh"]]  # half a hash: what is found is verified on the texts
+        sets = [np.frombuffer(h, np.uint64) for h in pdf["sh"]]
         doc, root = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy()
         names, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
@@ -204,7 +198,9 @@ def across(rest: DataFrame, shape: DataFrame, threshold: float, block: int = 102
             has = np.zeros((len(sets), min(4096, width - at)), np.float32)
             has[r[part], c[part] - at] = 1
             common += has[one] @ has[two].T
-        good = common / (size[one][:, None] + size[two][None, :] - common) >= threshold - 1e-3
+        # Whole hashes and exact counts: a pair that isn't a link must not stand for its two classes.
+        common = common.astype(np.float64)
+        good = common / (size[one][:, None] + size[two][None, :] - common) >= threshold
         x, y = np.nonzero(good & (root[one][:, None] != root[two][None, :]))
         x, y = one[x], two[y]
         ends = np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y])])
@@ -255,7 +251,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     other = few.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("m").alias("mb"))
     pairs = few.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra"), "m").join(other, "key").filter("a < b AND ra <> rb").filter(may_link("m", "mb", threshold)).select("a", "b").distinct()
     blocks = across(rest.filter(F.col("n") > small), shape, threshold)
-    more = settle(verified(pairs.unionByName(blocks), shape, threshold).distinct())
+    more = settle(verified(pairs, shape, threshold).unionByName(blocks).distinct())
     if not more.isEmpty():
         found = settle(components(links.unionByName(more), "a", "b"))
     linked = member.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
