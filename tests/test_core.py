@@ -34,6 +34,18 @@ def test_dedup_compares_with_the_last_kept(spark):
         assert sorted(r["epoch_ns"] for r in merge.dedup_within(p, 5, slab).collect()) == [0, 8, 20]
 
 
+def test_dedup_gathers_no_series(spark):
+    rows = [(s, 3 * i + (i * i) % 2, float(i), 0) for s in "ab" for i in range(300)] + [("b", 5000, 1.0, 0), ("b", 5001, 2.0, 0)]
+    want, last = [], {}
+    for s, e, v, _ in sorted(rows):
+        if s not in last or e - last[s] > 7:
+            want.append((s, e, v))
+            last[s] = e
+    got = merge.dedup_within(points(spark, rows), 7, 50)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_pooled_variance(spark):
     d = spark.createDataFrame([("a", 1, 2.0, 1.5, 0.25), ("a", 1, 1.0, 4.0, 0.0), ("b", 1, 1.0, NAN, 0.0)], "series string, epoch_ns long, n double, mean double, var double")
     got = {r["series"]: r["v"] for r in merge.pooled_variance(d).collect()}

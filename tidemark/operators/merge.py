@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.points import NAN
@@ -49,28 +50,43 @@ def average_over_members(points: DataFrame, members: int, keys: tuple[str, ...]
     return merge(points, "sum", keys, value).withColumn(value, F.col(value) / F.lit(float(members)))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` behind a reliable checkpoint, in ``spark.checkpoint.dir`` or, where a session names none, a folder of its own."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
 def dedup_within(points: DataFrame, tolerance_ns: int, slab_ns: int, value: str = "v") -> DataFrame:
     """Drop a point at most ``tolerance_ns`` after the last one kept; the first seen of equal epochs stays.
 
-    The comparison is with the last survivor, so it runs along a series. A gap
-    wider than the tolerance always starts anew; series are cut at such gaps
-    (found by a window over slabs of ``slab_ns``), and the scan is done in each
-    run of close points.
+    The comparison is with the last survivor, so what is kept is a path: the
+    series' first point, then from each point its successor, the first one
+    beyond the tolerance. Successors are found by windows of (series, slab of
+    ``slab_ns``), and the path is marked by pointer doubling, so no step
+    gathers a series. Tables of a round are checkpointed.
     """
-    from pyspark.sql import Window
-
-    first = points.groupBy("series", "epoch_ns").agg(F.min_by(value, "src_order").alias(value)).withColumn("slab", F.floor(F.col("epoch_ns") / slab_ns))
-    inside = Window.partitionBy("series", "slab").orderBy("epoch_ns")
-    edges = first.groupBy("series", "slab").agg(F.max("epoch_ns").alias("slab_end"))
-    before = edges.withColumn("prior_end", F.lag("slab_end").over(Window.partitionBy("series").orderBy("slab"))).select("series", "slab", "prior_end")
-    gaps = first.withColumn("gap", F.col("epoch_ns") - F.lag("epoch_ns").over(inside)).join(before, ["series", "slab"])
-    gaps = gaps.withColumn("gap", F.coalesce("gap", F.col("epoch_ns") - F.col("prior_end"))).withColumn("new", (F.col("gap").isNull() | (F.col("gap") > tolerance_ns)).cast("int"))
-    runs = gaps.withColumn("run", F.max(F.when(F.col("new") == 1, F.col("epoch_ns"))).over(Window.partitionBy("series").orderBy("epoch_ns")))
-    point = F.struct("epoch_ns", value)
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<epoch_ns:bigint,{value}:double>>").alias("kept"))
-    step = lambda acc, p: F.when(acc["last"].isNull() | (p["epoch_ns"] - acc["last"] > tolerance_ns), F.struct(p["epoch_ns"].alias("last"), F.concat(acc["kept"], F.array(p)).alias("kept"))).otherwise(acc)
-    kept = runs.groupBy("series", "run").agg(F.aggregate(F.array_sort(F.collect_list(point)), empty, step)["kept"].alias("kept"))
-    return kept.select("series", F.inline("kept"))
+    slab = lambda at: F.floor(at / slab_ns)
+    first = settle(points.groupBy("series", "epoch_ns").agg(F.min_by(value, "src_order").alias(value)))
+    # Where a slab has nothing at or after the sought epoch, the next slab with points has the successor.
+    slabs = first.groupBy("series", slab(F.col("epoch_ns")).alias("slab")).agg(F.min("epoch_ns").alias("slab_start"))
+    probes = first.select("series", (F.col("epoch_ns") + (tolerance_ns + 1)).alias("at"), F.col("epoch_ns").alias("node"), F.lit(None).cast("long").alias("point"))
+    own = first.select("series", F.col("epoch_ns").alias("at"), F.lit(None).cast("long").alias("node"), F.col("epoch_ns").alias("point"))
+    onward = Window.partitionBy("series", "slab").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    sought = probes.unionByName(own).withColumn("slab", slab(F.col("at"))).withColumn("next", F.min("point").over(onward)).filter("node IS NOT NULL")
+    # The first point of a later slab, for each slab that is probed: as many rows as slabs.
+    probed = sought.filter("next IS NULL").select("series", "slab").distinct().withColumn("slab_start", F.lit(None).cast("long"))
+    later = probed.unionByName(slabs).groupBy("series", "slab").agg(F.min("slab_start").alias("slab_start"))
+    later = later.select("series", "slab", F.min("slab_start").over(Window.partitionBy("series").orderBy("slab").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    jump = settle(sought.join(later, ["series", "slab"], "left").select("series", F.col("node").alias("epoch_ns"), F.coalesce("next", "later").alias("next")).filter("next IS NOT NULL"))
+    kept = settle(first.groupBy("series").agg(F.min("epoch_ns").alias("epoch_ns")))
+    # ``kept`` has a path's first 2^k points, ``jump`` goes 2^k points on; what is reached anew isn't in ``kept`` yet.
+    while not jump.isEmpty():
+        kept = settle(kept.unionByName(kept.join(jump, ["series", "epoch_ns"]).select("series", F.col("next").alias("epoch_ns"))).coalesce(kept.sparkSession.sparkContext.defaultParallelism))
+        onto = jump.select("series", F.col("epoch_ns").alias("next"), F.col("next").alias("far"))
+        jump = settle(jump.join(onto, ["series", "next"]).select("series", "epoch_ns", F.col("far").alias("next")))
+    return first.join(kept, ["series", "epoch_ns"]).select("series", "epoch_ns", value)
 
 
 def coalesce_replicas(points: DataFrame, order: str = "replica_order", keys: tuple[str, ...] = KEY) -> DataFrame:
