@@ -96,6 +96,14 @@ def test_wire_influx(spark):
     assert [(r["epoch_ns"], r["field"], r["value"]) for r in got] == [(1704067200 * P.NS, "x", "1.5")]
 
 
+def test_writers_bound_their_objects(spark):
+    p = spark.createDataFrame([('{"a":"b"}', e * P.NS, str(e), float(e)) for e in range(1, 100)], "series string, epoch_ns long, v_raw string, v double")
+    docs = wire.write_matrix(p, P.NS, 10)
+    assert docs.count() == 10 == wire.write_influx(p, "ms", P.NS, 10).count()
+    back = wire.read_matrix(docs.select(F.concat(F.lit('{"data":{"result":['), "json", F.lit("]}}")).alias("doc")))
+    assert sorted((r["series"], r["epoch_ns"], r["v"]) for r in back.collect()) == [('{"a":"b"}', e * P.NS, float(e)) for e in range(1, 100)]
+
+
 def test_chunks(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/c"
     wire.write_chunks(points(spark, [("a", e, 1.0, 0) for e in range(0, 1000, 10)]), path, 10, 7)

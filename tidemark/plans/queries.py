@@ -437,7 +437,7 @@ def histogram_sum(spark, d):
 def matrix_round_trip(spark, d):
     """Points written as JSON and read again."""
     e = table(spark, d, "events").select(P.tags_json(P.tags_of("event_type")).alias("series"), (F.col("event_id") * 1_000_000 + 1_000_000).alias("epoch_ns"), F.col("value").cast("string").alias("v_raw"))
-    docs = wire.write_matrix(e).select(F.concat(F.lit('{"status":"success","data":{"resultType":"matrix","result":['), "json", F.lit("]}}")).alias("doc"))
+    docs = wire.write_matrix(e, 1_000_000).select(F.concat(F.lit('{"status":"success","data":{"resultType":"matrix","result":['), "json", F.lit("]}}")).alias("doc"))
     back = wire.read_matrix(docs)
     return back.select(F.col("tags")["event_type"].alias("event_type"), (F.col("epoch_ns") / 1_000_000 - 1).cast("long").alias("event_id"), "v")
 

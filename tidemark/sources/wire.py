@@ -25,10 +25,15 @@ def read_matrix(docs: DataFrame) -> DataFrame:
     return points.withColumn("v", parse_value(F.col("v_raw"))).filter("epoch_ns > 0 AND v_raw IS NOT NULL")
 
 
-def write_matrix(points: DataFrame) -> DataFrame:
-    """One JSON object per series: metric and values in time order."""
+def _chunk(step_ns: int, factor: int):
+    """The aligned chunk of ``factor`` steps that a point is in."""
+    return F.floor(F.col("epoch_ns") / (step_ns * factor)).alias("chunk")
+
+
+def write_matrix(points: DataFrame, step_ns: int = NS, factor: int = 420) -> DataFrame:
+    """One JSON object per series and aligned chunk of ``factor`` steps: metric and values in time order."""
     pair = F.struct(F.col("epoch_ns"), F.concat(F.lit("["), (F.col("epoch_ns") / NS).cast("decimal(20,3)").cast("string"), F.lit(',"'), F.col("v_raw"), F.lit('"]')).alias("p"))
-    grouped = points.groupBy("series").agg(F.array_sort(F.collect_list(pair)).alias("ps"))
+    grouped = points.groupBy("series", _chunk(step_ns, factor)).agg(F.array_sort(F.collect_list(pair)).alias("ps"))
     body = F.array_join(F.transform("ps", lambda x: x["p"]), ",")
     return grouped.select("series", F.concat(F.lit('{"metric":'), F.col("series"), F.lit(',"values":['), body, F.lit("]}")).alias("json"))
 
@@ -43,11 +48,11 @@ def read_influx(docs: DataFrame) -> DataFrame:
     return cells.filter("epoch_ns IS NOT NULL").select("statement_id", "name", "tags", "epoch_ns", F.col("c.columns").alias("field"), F.col("c.row").alias("value"))
 
 
-def write_influx(points: DataFrame, unit: str = "ms") -> DataFrame:
-    """One JSON object per series: name, columns, values."""
+def write_influx(points: DataFrame, unit: str = "ms", step_ns: int = NS, factor: int = 420) -> DataFrame:
+    """One JSON object per series and aligned chunk of ``factor`` steps: columns, tags, values."""
     scale = NS // {"s": 1, "ms": 1000, "us": 10**6, "ns": NS}[unit]
     pair = F.struct("epoch_ns", F.concat(F.lit("["), whole(F.col("epoch_ns"), scale).cast("string"), F.lit(","), F.col("v").cast("string"), F.lit("]")).alias("p"))
-    grouped = points.groupBy("series").agg(F.array_sort(F.collect_list(pair)).alias("ps"))
+    grouped = points.groupBy("series", _chunk(step_ns, factor)).agg(F.array_sort(F.collect_list(pair)).alias("ps"))
     return grouped.select("series", F.concat(F.lit('{"columns":["time","value"],"tags":'), F.col("series"), F.lit(',"values":['), F.array_join(F.transform("ps", lambda x: x["p"]), ","), F.lit("]}")).alias("json"))
 
 
