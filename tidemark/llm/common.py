@@ -13,25 +13,53 @@ from pyspark.sql import functions as F
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session that
-    names none (tests on one machine) gets a folder of its own.
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session
+    that names none, as in tests, gets a folder of its own; on a cluster that is
+    an error. Whoever owns the folder empties it when the results are stored.
     """
-    spark = df.sparkSession
+    folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
 
 
 def store(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the checkpoint folder, for tables that are large beside their input."""
     spark = df.sparkSession
-    settle(spark.range(0))
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", share: int = 500) -> DataFrame:
+    """The keys with more than a ``share``-th of all rows, by a table of counts; there can be ``share`` of them at most."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.filter(F.col(n) * share > total).select(*keys, F.lit(True).alias("_hot"))
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """``left`` joined to ``right``, which has one row a key, so that no hot key meets in one task.
+
+    ``hot`` comes from ``hot_keys``, whose bound makes it safe to broadcast.
+    Its keys are spread over ``salts`` tasks by a hash of the columns ``by``,
+    and only their rows of ``right`` are copied. Null keys join nothing.
+    """
+    hot = F.broadcast(hot)
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
