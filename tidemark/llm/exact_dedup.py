@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table, settle
+from tidemark.llm.common import hot_keys, join_spread, read_table, settle
 
 #: Characters that don't count when texts are compared: space and 0x09-0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -41,7 +41,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is kept. Other columns, whatever their names, are not looked at. An empty
     table gives an empty result.
 
-    ``salts`` splits the copies of one text over that many merge groups.
+    ``salts`` splits the copies of one text over that many merge groups; where
+    rows meet the row that stays, digests of many rows are spread as well.
     ``digest`` may be any function of the normalised text: texts with equal
     digests are told apart by content.
     """
@@ -58,15 +59,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = settle(merged.select(*owner))
     members = rows.select("doc", "fp", sha.alias("sha")).groupBy("doc", "fp", "sha").agg(F.count(F.lit(1)).alias("times"))
     shared = winners.groupBy("fp").count().filter("count > 1").select("fp")
+    hot = hot_keys(winners, ["fp"], "size")
     if shared.isEmpty():
-        joined = members.join(winners, "fp")
+        joined = join_spread(members, winners, ["fp"], hot, ["doc"])
     else:
         # Different texts under one digest: their rows are joined by content as well.
         shared = settle(shared)
         texts = rows.join(shared, "fp", "left_semi").groupBy("doc", "fp", "norm").agg(F.count(F.lit(1)).alias("times"))
-        owners = merged.select(*owner, "norm").join(shared, "fp", "left_semi")
-        hard = texts.join(owners, ["fp", "norm"]).select("fp", "doc", _strong_digest(F.col("norm")).alias("sha"), "times", "keep", "size")
-        joined = members.join(shared, "fp", "left_anti").join(winners, "fp").unionByName(hard)
+        owners = settle(merged.select(*owner, "norm").join(shared, "fp", "left_semi"))
+        hard = join_spread(texts, owners, ["fp", "norm"], hot_keys(owners, ["fp", "norm"], "size"), ["doc"]).select("fp", "doc", _strong_digest(F.col("norm")).alias("sha"), "times", "keep", "size")
+        joined = join_spread(members.join(shared, "fp", "left_anti"), winners.join(shared, "fp", "left_anti"), ["fp"], hot, ["doc"]).unionByName(hard.select("fp", "doc", "sha", "times", "keep", "size"))
     return joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth")).select(
         F.col("doc").alias(id_col),
         F.col("keep").alias("keep_id"),
