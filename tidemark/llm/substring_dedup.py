@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, map_columns, read_table, store
+from tidemark.llm.common import hot_keys, id_and_text, join_spread, map_columns, read_table, settle, store
 
 CHUNKS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("nth", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 #: Gear values: one 32-bit number for each byte, drawn from a fixed hash.
@@ -56,7 +56,7 @@ def cuts(data: bytes, bits: int = 5, least: int = 16, most: int = 128) -> list[i
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 16, most: int = 128) -> DataFrame:
     """One row per chunk: doc_id, row, nth, start and size in code points, and a digest in two longs.
 
-    ``row`` tells rows apart that share an id. Null and empty text have no chunks.
+    ``row`` is a hash of the text, which tells rows apart that share an id. Null and empty text have no chunks.
     """
 
     def start():
@@ -85,12 +85,12 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
 
         return step
 
-    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
     return map_columns(rows.select("doc_id", "row", "text"), start, CHUNKS)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 120, bits: int = 5, least: int = 16, most: int = 128) -> DataFrame:
-    """Spans of text that several documents share: doc_id, start, end, removed, first_doc_id, n_chunks.
+    """Spans of text that several documents share: doc_id, row, start, end, removed, first_doc_id, n_chunks.
 
     start and end are code points, end exclusive. A span is a run of chunks of
     one document that occur in other documents too, of ``least_chars`` at
@@ -98,13 +98,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     (removed is false there); elsewhere it is to be removed. Repeats inside
     one document alone are none. Documents without a repeat have no row, and
     so have null and empty texts; a null id takes no part. Rows that repeat an
-    id and text are one document. Other columns are not read.
+    id and text are one document; rows that share an id alone are told apart by
+    ``row``, a hash of the text. A very long text is cut by its worker and
+    leaves it as rows, chunk by chunk. Other columns are not read.
     """
     rows = chunks(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, bits, least, most)
     # Stored once: the chunks are read for the counts and again for the spans.
     rows = store(rows)
-    shared = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hi", "lo", "first")
-    hits = rows.join(shared, ["hi", "lo"]).dropDuplicates(["doc_id", "row", "nth"])
+    counted = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = settle(counted.filter("first < last").select("hi", "lo", "first", "n"))
+    hits = join_spread(rows, shared.drop("n"), ["hi", "lo"], hot_keys(shared, ["hi", "lo"]), ["doc_id", "row"]).dropDuplicates(["doc_id", "row", "nth"])
     hits = hits.withColumn("removed", F.col("doc_id") != F.col("first"))
     order = Window.partitionBy("doc_id", "row").orderBy("nth")
     new = F.coalesce((F.col("nth") != F.lag("nth").over(order) + 1) | (F.col("removed") != F.lag("removed").over(order)), F.lit(True))
@@ -113,22 +116,28 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.col("size")).cast("long").alias("end"),
         F.first("removed").alias("removed"), F.min("first").alias("first_doc_id"), F.count(F.lit(1)).alias("n_chunks"),
     )
-    return spans.filter(F.col("end") - F.col("start") >= least_chars).select("doc_id", "start", "end", "removed", "first_doc_id", "n_chunks")
+    return spans.filter(F.col("end") - F.col("start") >= least_chars).select("doc_id", "row", "start", "end", "removed", "first_doc_id", "n_chunks")
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed spans cut out of the text; null text stays null."""
-    cutouts = spans.filter("removed").groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
-    joined = docs.join(cutouts, F.col(id_col) == F.col("__doc"), "left")
-    text = F.col(text_col)
+    """``docs``, all columns, with the removed spans of ``repeats`` cut out of the text; null text stays null.
+
+    Cuts belong to an id and a text, so rows that share an id lose only what is
+    their own; rows that repeat both are cut alike. Columns may have any name.
+    """
+    cutouts = spans.filter("removed").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    text = F.col(f"`{text_col}`")
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*every).alias("all"), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"))
     state = F.aggregate(
-        "__cuts",
+        "cuts",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))).alias("out"), F.greatest(acc["at"], x["end"]).alias("at")),
+        lambda acc, x: F.struct(F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))).alias("out"), F.greatest(acc["at"], x["end"]).alias("at")),
     )
-    cut_text = F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int")))
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(cut_text)).select(*docs.columns)
+    left = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(state["out"], F.substr("text", (state["at"] + 1).cast("int"))))
+    joined = rows.join(cutouts, ["doc_id", "row"], "left").withColumn("left", left)
+    return joined.select(*[F.col("left").alias(c) if c == text_col else F.col(f"all.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(read_table(spark, sf_dir, "documents"))
+    return repeats(read_table(spark, sf_dir, "documents")).drop("row")
