@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, map_columns, read_table, settle, store
+from tidemark.llm.common import hot_keys, id_and_text, join_spread, map_columns, read_table, settle, store
 from tidemark.llm.components import components
 from tidemark.llm.pieces import Memory
 
@@ -158,7 +158,8 @@ def shapes(texts: DataFrame, used: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, shape: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of documents whose similarity is ``threshold`` or more, by the shingles of their whole texts."""
-    both = pairs.join(shape.select(F.col("doc_id").alias("a"), F.col("sh").alias("ha")), "a").join(shape.select(F.col("doc_id").alias("b"), F.col("sh").alias("hb")), "b")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), ["a"])
+    both = join_spread(pairs, shape.select(F.col("doc_id").alias("a"), F.col("sh").alias("ha")), ["a"], hot, ["b"]).join(shape.select(F.col("doc_id").alias("b"), F.col("sh").alias("hb")), "b")
 
     def run(batches):
         for t in batches:
@@ -168,16 +169,16 @@ def verified(pairs: DataFrame, shape: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def across(rest: DataFrame, shape: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """Links (a, b) between the classes of a bucket; ``rest`` has key, doc_id, root and the bucket's size n.
+def across(rest: DataFrame, shape: DataFrame, threshold: float, block: int = 1024, most: int = 1_000_000) -> DataFrame:
+    """Links (a, b) between the classes of a bucket; ``rest`` has key, doc_id, root, and the bucket's documents n and shingles s.
 
     A bucket is dealt into blocks, and each pair of blocks is one group of at
-    most 2 x ``block`` or so documents. Inside, products of the blocks' shingle
+    most 2 x ``block`` or so documents and 2 x ``most`` or so shingles. Inside, products of the blocks' shingle
     matrices give all intersections at once, exactly, and one link for each two
     classes leaves the group, never its pairs.
     """
 
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("s") / most)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", "doc_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(shape.select("doc_id", "sh"), "doc_id")
@@ -229,29 +230,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     base = docs.filter(F.col(id_col).isNotNull())
     sigs = store(signed(base, id_col, text_col))
     worded = sigs.filter("n > 0")
-    same = worded.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    member = worded.select("doc_id", "c1", "c2").join(same, ["c1", "c2"]).select("doc_id", "rep")
+    same = worded.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    same = settle(same)
+    member = join_spread(worded.select("doc_id", "c1", "c2"), same.drop("n"), ["c1", "c2"], hot_keys(same, ["c1", "c2"]), ["doc_id"]).select("doc_id", "rep")
     # Signatures of the representatives: one document for each different text.
     firsts = same.select(F.col("rep").alias("doc_id"), "c1", "c2")
     reps = store(worded.join(firsts, ["doc_id", "c1", "c2"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"]).select("doc_id", "n", "sig", "flat"))
     rows = band_rows(reps)
-    buckets = rows.groupBy("key").agg(F.min(F.struct("doc_id", "m")).alias("first"), F.max("doc_id").alias("z")).filter("first.doc_id < z").select("key", F.col("first.doc_id").alias("a"), F.col("first.m").alias("ma"))
-    crowded = store(rows.join(buckets, "key"))
+    buckets = rows.groupBy("key").agg(F.min(F.struct("doc_id", "m")).alias("first"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n")).filter("first.doc_id < z").select("key", F.col("first.doc_id").alias("a"), F.col("first.m").alias("ma"), "n")
+    buckets = settle(buckets)
+    crowded = store(join_spread(rows, buckets.drop("n"), ["key"], hot_keys(buckets, ["key"]), ["doc_id"]))
     # From here on only documents that share a bucket: the shingles of their texts.
     used = settle(crowded.select("doc_id").distinct())
     shape = store(shapes(id_and_text(base, id_col, text_col), used))
-    stars = crowded.filter((F.col("doc_id") != F.col("a")) & may_link("m", "ma", threshold)).select("a", F.col("doc_id").alias("b")).distinct()
+    stars = settle(crowded.filter((F.col("doc_id") != F.col("a")) & may_link("m", "ma", threshold)).select("a", F.col("doc_id").alias("b")).distinct())
     links = settle(verified(stars, shape, threshold).distinct())
     found = settle(components(links, "a", "b"))
     # Buckets whose members are still in different classes.
     labelled = crowded.select("key", "doc_id", "m").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", "m", F.coalesce("root", "doc_id").alias("root"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 < r1").select("key", "n")
-    rest = store(labelled.join(split, "key"))
+    # Buckets of several bands with the same members are one; of two members, the first comparison was all there is.
+    mark = lambda seed: F.bit_xor(F.xxhash64("doc_id", F.lit(seed)))
+    split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n"), F.sum("m").alias("s"), mark(1).alias("x1"), mark(2).alias("x2"))
+    split = settle(split.filter("r0 < r1 AND n > 2").groupBy("n", "s", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n", "s"))
+    rest = store(join_spread(labelled, split, ["key"], hot_keys(split, ["key"]), ["doc_id"]))
     few = rest.filter(F.col("n") <= small)
     other = few.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("m").alias("mb"))
     pairs = few.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra"), "m").join(other, "key").filter("a < b AND ra <> rb").filter(may_link("m", "mb", threshold)).select("a", "b").distinct()
     blocks = across(rest.filter(F.col("n") > small), shape, threshold)
-    more = settle(verified(pairs, shape, threshold).unionByName(blocks).distinct())
+    more = settle(verified(settle(pairs), shape, threshold).unionByName(blocks).distinct())
     if not more.isEmpty():
         found = settle(components(links.unionByName(more), "a", "b"))
     linked = member.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
@@ -261,11 +267,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that near_duplicates keeps; one of rows that share an id."""
-    kept = near_duplicates(docs, 0.8, id_col, text_col).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.withColumn("__keep", F.col(id_col).cast("long"))
-    named = rows.filter(F.col("__keep").isNotNull()).join(kept, "__keep", "left_semi").dropDuplicates(["__keep"])
-    return named.unionByName(rows.filter(F.col("__keep").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, all columns, that near_duplicates keeps; one of rows that share an id. Columns may have any name."""
+    kept = near_duplicates(docs, 0.8, id_col, text_col).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), every.alias("all"))
+    named = rows.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(rows.filter("doc_id IS NULL")).select(*[F.col(f"all.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
