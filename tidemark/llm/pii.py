@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table, settle, store
+from tidemark.llm.common import hot_keys, join_spread, read_table, settle, store
 
 KINDS = ("email", "ip", "card", "phone")
 #: Marks put around matches; in texts they are first replaced by a character of the same length.
@@ -106,26 +106,36 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
+def row_key(doc: Column, text: Column) -> Column:
+    """256-bit digest of a row's id and text, null id included."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(doc.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))), 256))
+
+
 def held_terms(scanned: DataFrame) -> DataFrame:
     """(row, w, holder, n_e, term): each term of a row's text with each holder of the row; w is how often the row is there.
 
     A holder is a set of rows that an entity or an e-mail domain occurs in, n_e
     of them. Entities of the same rows have the same counts with every term, so
     they are one holder: a text with many addresses that are nowhere else has
-    one, not as many as addresses.
+    one, not as many as addresses. Texts meet their holders once a row, and an
+    entity of very many rows is spread over tasks.
     """
     carriers = scanned.filter(F.size("base") > 0).groupBy("row").agg(F.count(F.lit(1)).alias("w"), F.first("text").alias("text"), F.first("base").alias("base"))
     names = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["entity"].alias("entity")))
     domains = F.transform(F.filter("base", lambda s: s["kind"] == "email"), lambda s: F.struct(F.lit("domain").alias("kind"), F.substring_index(s["entity"], "@", -1).alias("entity")))
-    owned = carriers.select("row", "w", F.explode(F.array_distinct(F.concat(names, domains))).alias("e")).select("row", "w", "e.*")
+    carriers = store(carriers.withColumn("owned", F.array_distinct(F.concat(names, domains))).drop("base"))
+    owned = carriers.select("row", "w", F.explode("owned").alias("e")).select("row", "w", "e.*")
     mark = lambda seed: F.bit_xor(F.xxhash64("row", F.lit(seed)))
-    sets = owned.groupBy("kind", "entity").agg(F.sum("w").alias("n_e"), mark(1).alias("x1"), mark(2).alias("x2"))
-    held = owned.join(sets, ["kind", "entity"]).select("row", "w", F.xxhash64("n_e", "x1", "x2").alias("holder"), "n_e").distinct()
-    return held.join(carriers.select("row", "text"), "row").select("row", "w", "holder", "n_e", F.explode(_terms(F.col("text"))).alias("term"))
+    sets = settle(owned.groupBy("kind", "entity").agg(F.sum("w").alias("n_e"), F.count(F.lit(1)).alias("n"), mark(1).alias("x1"), mark(2).alias("x2")))
+    met = join_spread(owned, sets.drop("n"), ["kind", "entity"], hot_keys(sets, ["kind", "entity"]), ["row"])
+    # A row's holders are bounded by its text, as its entities are.
+    held = met.groupBy("row").agg(F.collect_set(F.struct(F.xxhash64("n_e", "x1", "x2").alias("holder"), F.col("n_e"))).alias("holders"))
+    texts = carriers.select("row", "w", _terms(F.col("text")).alias("terms")).join(held, "row")
+    return texts.select("row", "w", F.explode("holders").alias("h"), "terms").select("row", "w", "h.holder", "h.n_e", F.explode("terms").alias("term"))
 
 
 def disclosing_terms(held: DataFrame, docs: DataFrame, total: int, remove_at: float, generalise_at: float, z: float) -> DataFrame:
-    """(holder, term, action) over the corpus.
+    """(holder, term, action, n) over the corpus; n is in how many rows they are together.
 
     The share of IC(e) that a term discloses is PMI(e; t) / IC(e), that is
     log2(p(e|t) / p(e)) / -log2 p(e). p(e|t) is the lower end of its Wilson
@@ -141,7 +151,7 @@ def disclosing_terms(held: DataFrame, docs: DataFrame, total: int, remove_at: fl
     share = 1 + F.log2(low) / information
     return (
         together.join(frequency, "term").withColumn("share", share).filter(F.col("share") >= generalise_at)
-        .select("holder", "term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
+        .select("holder", "term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"), F.col("n_et").alias("n"))
     )
 
 
@@ -167,18 +177,19 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base has the entities found by pattern; spans adds terms that disclose one
     of the row's entities or their e-mail domains, of kind 'remove' (share of the entity's information
     of ``remove_at`` or more) or 'generalise' (``generalise_at`` or more), but
-    not inside a base span. Null and empty text have none. ``row`` is a digest
-    of id and text; rows that repeat both have the same spans. Terms are runs
-    of letters in lower case. Other columns are not read.
+    not inside a base span. Null and empty text have none. ``row`` is a
+    256-bit digest of id and text; rows that repeat both have the same spans.
+    Terms are runs of letters in lower case. Other columns are not read.
     """
-    text = _clean(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+    doc, raw = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(doc.alias("doc_id"), _clean(raw).alias("text"), row_key(doc, raw).alias("row"))
     based = rows.select("doc_id", "row", base_spans(F.col("text")).alias("base"), "text")
     # Only texts with an entity are needed again.
     scanned = settle(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))))
     held = store(held_terms(scanned))
     rules = settle(disclosing_terms(held, rows, scanned.count(), remove_at, generalise_at, z))
-    hits = held.select("row", "holder", "term").join(rules, ["holder", "term"]).groupBy("row", "term").agg(F.max("action").alias("action"))
+    pair = ["holder", "term"]
+    hits = join_spread(held.select("row", *pair), rules.drop("n"), pair, hot_keys(rules, pair), ["row"]).groupBy("row", "term").agg(F.max("action").alias("action"))
     flagged = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("flagged"))
     # A row's flagged terms are terms of its own text: bounded by the text.
     joined = scanned.join(flagged, "row", "left")
@@ -212,11 +223,17 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with private spans replaced in the text; rows without any are as they were, null text stays null."""
-    found = find_private(docs, id_col, text_col).filter(F.size("spans") > 0).select(F.col("row").alias("__row"), F.col("spans").alias("__spans")).dropDuplicates(["__row"])
-    joined = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col))).join(found, "__row", "left")
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans")))
-    return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs``, all columns, with private spans replaced in the text.
+
+    Rows without any are as they were, null text stays null, and rows that
+    repeat id and text are redacted alike. Columns may have any name.
+    """
+    found = find_private(docs, id_col, text_col).filter(F.size("spans") > 0).select("row", "spans").dropDuplicates(["row"])
+    text = F.col(f"`{text_col}`")
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(every.alias("all"), text.alias("text"), row_key(F.col(f"`{id_col}`").cast("long"), text).alias("row"))
+    joined = rows.join(found, "row", "left").withColumn("clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans"))))
+    return joined.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"all.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
