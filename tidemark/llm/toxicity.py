@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hashed_share, id_and_text, id_fold, map_columns, read_table
+from tidemark.llm.common import hashed_share, id_and_text, id_fold, map_columns, read_table, settle
 from tidemark.llm.pieces import Memory
 
 BITS = 20
@@ -64,17 +64,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 24000, shards: int = 4,
 
     About ``most`` labelled documents are used (chosen by a hash of the id); a
     document with several labels counts as toxic if one says so, null labels
-    don't count. The sample is split over ``shards`` learners whose weights are
-    averaged, so no task holds more than its share of the bounded sample.
+    don't count. Rows that share an id are each a document with its label, and
+    so are thinned once more where they are many; rows that repeat id and text
+    are one. The sample is split by a hash of the text over ``shards`` learners
+    and the weights of those that had rows are averaged, so no task holds more
+    than its share of the bounded sample.
     """
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = marks.count()
     chosen = marks.filter(hashed_share("doc_id", F.lit(min(1.0, most / max(1, total))), 5))
     # At most about ``most`` rows of two numbers: a proven bound for a broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    chosen = F.broadcast(settle(chosen))
+    rows = docs.select("doc_id").join(chosen, "doc_id").count()
+    thin = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 30)) < F.lit(min(1.0, 2 * most / max(1, rows)) * (1 << 30))
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").filter(thin).withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.argsort([xxhash.xxh64_intdigest(str(x)) for x in pdf["doc_id"]], kind="stable")]
+        pdf = pdf.drop_duplicates(["doc_id", "text"])
+        pdf = pdf.iloc[np.argsort([xxhash.xxh64_intdigest(f"{i} {t}") for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)], kind="stable")]
         x = [np.unique(features(t)) for t in pdf["text"]]
         model = Ftrl()
         for _ in range(passes):
@@ -82,9 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 24000, shards: int = 4,
                 model.learn(at, int(y))
         w = model.weights(np.arange((1 << BITS) + 1))
         at = np.flatnonzero(w)
-        return pd.DataFrame({"at": at, "w": w[at]})
+        # Place -1 counts the learners.
+        return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], 1.0)})
 
-    rows = sample.groupBy("shard").applyInPandas(learn, "at long, w double").groupBy("at").agg((F.sum("w") / shards).alias("w")).toPandas()
+    rows = sample.groupBy("shard").applyInPandas(learn, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas()
+    rows["w"] /= max(1.0, float(rows.loc[rows["at"] == -1, "w"].sum()))
+    rows = rows[rows["at"] >= 0]
     bias = float(rows.loc[rows["at"] == 1 << BITS, "w"].sum())
     rows = rows[rows["at"] < 1 << BITS].sort_values("at")
     return {"at": rows["at"].to_numpy(np.int64), "w": rows["w"].to_numpy(np.float64), "bias": bias}
