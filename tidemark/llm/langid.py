@@ -58,19 +58,21 @@ def words_of(text: str):
     return bucket, script, np.flatnonzero(begins), at[begins] - 1, at[ends]
 
 
-def fit(docs: DataFrame, per_lang: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
+def fit(docs: DataFrame, per_lang: int = 2000, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Trigram model of about ``per_lang`` whole documents of each language (null text or lang: not used).
 
-    The sample is chosen by a hash of the id. The counts, at most BUCKETS and a
+    The sample is chosen by a hash of the id. Of more than ``most_langs`` values
+    of the language, those with most documents are learned, which bounds the
+    model. The counts, at most BUCKETS and a
     few scripts per language, are summed in Spark.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()}
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "table": np.zeros((BUCKETS, 0), np.float32), "scripts": np.zeros((len(_NAMES), 0), bool)}
     share = F.element_at(F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, per_lang / sizes[lang])))]), F.col(lang_col))
-    sample = rows.filter(hashed_share(id_col, share, 8)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = rows.filter(F.col(lang_col).isin(langs) & hashed_share(id_col, share, 8)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
         sums = {lang: np.zeros(BUCKETS + len(_NAMES), np.int64) for lang in langs}
@@ -176,7 +178,10 @@ def train_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language for at least ``least`` of its letters."""
+    """The rows of ``docs``, all columns, whose text has a language for at least ``least`` of its letters.
+
+    Null text and text without a letter have none. Rows may repeat.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
