@@ -25,12 +25,44 @@ from tidemark.llm.pieces import Pieces, cut
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 
 
+def _dominating_three(left: dict[int, int], order: list[int], j: int, room: int) -> tuple[int, ...] | None:
+    """The set that dominates all others with j where at most two items fit beside it; None if there is none or three fit."""
+    free = lambda s: left[s] - (s == j)
+    small = [s for s in order[:4] for _ in range(min(3, free(s)))][:3]
+    if len(small) == 3 and sum(small) <= room:
+        return None
+    sizes = [s for s in order[: bisect_left(order, room + 1)] if free(s)]
+    if not sizes:
+        return None
+    i = sizes[-1]
+    best, low, high = 0, 0, len(sizes) - 1
+    while low <= high:  # the longest two that fit
+        if sizes[low] + sizes[high] > room or (low == high and free(sizes[low]) < 2):
+            high -= 1
+            continue
+        best = max(best, sizes[low] + sizes[high])
+        low += 1
+    if i >= best:
+        return (j, i)
+    beside = [s for s in sizes[: bisect_left(sizes, room - i + 1)] if free(s) > (s == i)]
+    if not beside:
+        return None
+    h = beside[-1]
+    longer = [s for s in sizes[bisect_left(sizes, h + 1) :] for _ in range(min(2, free(s)))][:2]
+    if len(longer) == 2 and sum(longer) <= room:
+        return None
+    return (j, i, h)
+
+
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
     """Bins fixed for good as (times, lengths), and the counts that are left.
 
     For the longest item j, Martello and Toth's criteria fix {j} where nothing
-    fits beside it, {j, i} where i fills the bin exactly, and {j, i} for the
-    longest i that fits where no two items fit beside j.
+    fits beside it, {j, i} where i fills the bin exactly, {j, i} for the
+    longest i that fits where no two items fit beside j, and, where two fit
+    but not three, {j, i} if i is as long as any two that fit, or {j, i, h},
+    h the longest that fits beside both, if every two that fit are no longer
+    than i and h one by one.
     """
     left = {s: n for s, n in counts.items() if n}
     order = sorted(left)
@@ -40,6 +72,7 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
         fixed.append((times, sizes))
         for s in sizes:
             left[s] -= times
+        for s in set(sizes):
             if not left[s]:
                 del left[s]
                 order.pop(bisect_left(order, s))
@@ -63,7 +96,13 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
             if smallest[0] == j and own < 2:
                 break
             if len(smallest) > 1 and smallest[0] + smallest[1] <= room:
-                break
+                found = _dominating_three(left, order, j, room)
+                if found is None:
+                    break
+                times = min(left[s] // found.count(s) for s in set(found))
+                take_one = len(set(found)) < len(found)
+                take(found, 1 if take_one else times)
+                continue
             i = order[bisect_left(order, room + 1) - 1]
             if i == j:
                 if own < 2:
