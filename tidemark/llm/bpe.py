@@ -4,7 +4,12 @@ Whether a token at the end of the bytes read so far is final depends on what
 may still follow. A merge (a, b) at its right end can only be undone by an
 earlier merge that takes a right-hand part of b, that one by a still earlier
 merge, and so on; the longest such chain in the merge list bounds how many
-bytes to look ahead. Tokens that end further back than that are emitted.
+bytes to look ahead, for each token by itself. Tokens that have as many bytes
+behind them are emitted, from the left.
+
+A text is read in runs of a few ten thousand characters. Where a pre-token
+ends, nothing behind it can reach back, so the transducer is flushed there; the
+bytes it emits for short words are remembered.
 """
 
 from __future__ import annotations
@@ -20,12 +25,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import id_and_text, map_columns, read_table
-from tidemark.llm.pieces import Memory, Pieces, cut
+from tidemark.llm.pieces import Memory, Pieces, cut, runs
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-BLOCK = 1 << 16
+#: Characters of a run, and bytes of a word that the transducer takes at once.
+BLOCK, WORD = 1 << 16, 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -35,17 +41,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
-    """Bytes to the right of a token that can still change it, over all chains of ever earlier merges."""
+def lookaheads(merges: list[tuple[bytes, bytes]]) -> dict[bytes, int]:
+    """For each token, the bytes to its right that can still change it, over all chains of ever earlier merges."""
     reach: dict[bytes, int] = {}  # token -> furthest that a merge with it on the left depends on
     ends: dict[bytes, tuple[bytes, ...]] = {}  # token -> the tokens down its right edge, itself first
-    furthest = 0
     for a, b in merges:
         needs = len(b) + max((reach.get(part, 0) for part in ends.get(b, (b,))), default=0)
         reach[a] = max(reach.get(a, 0), needs)
-        furthest = max(furthest, needs)
         ends.setdefault(a + b, (a + b, *ends.get(b, (b,))))
-    return furthest
+    single = {bytes([x]): (bytes([x]),) for x in range(256)}
+    return {t: max(reach.get(part, 0) for part in parts) for t, parts in (single | ends).items()}
 
 
 class Codec:
@@ -60,7 +65,8 @@ class Codec:
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items() if all(c in alphabet for c in t)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.single = [vocab.get(bytes([b])) for b in range(256)]
-        self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in pairs])
+        needs = lookaheads([(raw(a), raw(b)) for a, b in pairs])
+        self.lookahead = max(needs.values())
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(pairs):
             self.merge.setdefault((vocab[raw(a)], vocab[raw(b)]), (rank, vocab[raw(a) + raw(b)]))
@@ -68,6 +74,7 @@ class Codec:
         self.made = [vocab[raw(a) + raw(b)] for a, b in pairs]
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.size_of = {i: len(t) for i, t in self.bytes_of.items()}
+        self.needs_of = {i: needs.get(t, 0) for i, t in self.bytes_of.items()}
         self.split = regex.compile(PATTERN)
         self.at_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         flat, self.start, self.width = bytearray(), np.zeros(max(self.bytes_of) + 1, np.int64), np.zeros(max(self.bytes_of) + 1, np.int64)
@@ -120,25 +127,24 @@ class Codec:
         return [i for i, x in zip(ids, alive, strict=True) if x]
 
     def stream_word(self, blocks):
-        """Ids of one word that arrives in blocks of bytes; holds a block and the lookahead at most."""
+        """Ids of one word that arrives in blocks of bytes; holds a block and the lookahead of its last tokens at most."""
         held = b""
         for block in blocks:
-            held += block
-            if len(held) <= 2 * self.lookahead:
-                continue
-            stable, at = len(held) - self.lookahead, 0
-            for i in self._whole(held):
-                if at + self.size_of[i] > stable:
-                    break
-                at += self.size_of[i]
-                yield i
-            held = held[at:]
+            if held:
+                at = 0
+                for i in self._whole(held + block):
+                    if at + self.size_of[i] + self.needs_of[i] > len(held) + len(block):
+                        break
+                    at += self.size_of[i]
+                    yield i
+                held = (held + block)[at:]
+            else:
+                held = block
         yield from self._whole(held)
 
-    def encode_word(self, data: bytes) -> list[int]:
-        if len(data) <= 4 * self.lookahead:
-            return self._whole(data)
-        return list(self.stream_word(data[k : k + 2 * self.lookahead] for k in range(0, len(data), 2 * self.lookahead)))
+    def encode_word(self, data: bytes, block: int = WORD) -> list[int]:
+        """Ids of a word; one that is no longer than ``block`` is all the transducer holds before it is flushed."""
+        return list(self.stream_word(data[k : k + block] for k in range(0, len(data), block)))
 
     def _plain(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -156,14 +162,34 @@ class Codec:
         ids = self.encode_text(piece)
         return ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
 
+    def _long(self, piece: str):
+        """The same for a piece of any length, a few ids at a time."""
+        parts = self.at_special.split(piece) if self.at_special and self.at_special.search(piece) else [piece]
+        held: list[int] = []
+        for part in parts:
+            words = (part[m.start() : m.end()] for m in self.split.finditer(part)) if part not in self.special else ()
+            ids = (i for w in words for i in self.stream_word(w[k : k + WORD].encode("utf-8", "surrogatepass") for k in range(0, len(w), WORD)))
+            for i in [self.special[part]] if part in self.special else ids:
+                held.append(i)
+                if len(held) == BLOCK:
+                    yield ",".join(map(str, held)), np.array(held, "<u4").tobytes()
+                    held = []
+        if held:
+            yield ",".join(map(str, held)), np.array(held, "<u4").tobytes()
+
     def stream(self, text: str):
-        """(decimal ids joined by commas, packed ids) of runs of pieces, in order."""
-        first, *rest = cut(text)
-        if first:
-            yield self._known.head[first]
-        for k in range(0, len(rest), BLOCK):
-            names, packed = zip(*map(self._known.tail.__getitem__, rest[k : k + BLOCK]), strict=True)
-            yield ",".join(names), b"".join(packed)
+        """(decimal ids joined by commas, packed ids) of one run of the text after the other."""
+        for run in runs(text, BLOCK):
+            first, *rest = cut(run)
+            if len(run) > 4 * BLOCK:  # a run without a place to cut
+                yield from self._long(run)
+                continue
+            if run is not text and rest and not first:
+                names, packed = zip(*map(self._known.tail.__getitem__, rest), strict=True)
+            else:
+                names, packed = zip(*([self._known.head[first]] if first else []), *map(self._known.tail.__getitem__, rest), strict=True) if first or rest else ((), ())
+            if names:
+                yield ",".join(names), b"".join(packed)
 
     # -- decoding -------------------------------------------------------------
 
@@ -223,7 +249,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; the digests grow as ids are emitted.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; the digests grow as ids are emitted, so a long text needs no more room than a run of it.
 
     Null and empty text have no tokens, and both digests are those of the empty string.
     """

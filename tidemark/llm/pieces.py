@@ -18,6 +18,19 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
+def runs(text: str, least: int):
+    """Runs of ``text`` of ``least`` characters or a little more, each but the first from a place where ``cut`` cuts on."""
+    if len(text) <= 2 * least:
+        yield text
+        return
+    at = 0
+    while at < len(text):
+        found = _CUT.search(text, at + least) if at + least < len(text) else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Memory(dict):
     """piece -> value, of at most 2 x ``size`` short pieces; ``make`` gives missing ones."""
 
