@@ -1,15 +1,20 @@
 """Operators on values the tables don't have: NaN, ties, empty inputs, streams."""
 
+import json
 import math
+import random
 import tempfile
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from tidemark.functions import durations as D
 from tidemark.functions import points as P
 from tidemark.functions import rules as R
-from tidemark.operators import histogram, intervals, merge, rank
-from tidemark.sources import wire
+from tidemark.operators import histogram, intervals, merge, meta, order, rank
+from tidemark.sources import formats, tables, wire
 from tidemark.streaming import rollup
 
 NAN = float("nan")
@@ -65,10 +70,13 @@ def test_quantile(spark, phi, want):
     assert rank.quantile(p, phi, ["epoch_ns"]).first()["v"] == pytest.approx(want)
 
 
-def test_limit_hash_is_seed_zero(spark):
-    # XXH64 of the empty string with seed 0.
-    share = spark.range(1).select(P.limit_hash(F.create_map().cast("map<string,string>")).alias("h")).first()["h"]
-    assert share == pytest.approx(0xEF46DB3751D8E999 / 2**64)
+@pytest.mark.parametrize("tags", [{}, {"a": "b"}, {"job": "x" * 300, "instance": "h:9090"}, {"b": "é", "a": ""}])
+def test_limit_hash_is_seed_zero(spark, tags):
+    # XXH64 with seed 0 of the sorted labels, each behind its length: a byte, or 0xFF and three bytes.
+    prefixed = lambda s: (bytes([len(s)]) if len(s) < 255 else b"\xff" + len(s).to_bytes(3, "little")) + s
+    data = b"".join(prefixed(k.encode()) + prefixed(v.encode()) for k, v in sorted(tags.items()))
+    share = spark.createDataFrame([(tags,)], "t map<string,string>").select(P.limit_hash(F.col("t")).alias("h")).first()["h"]
+    assert share == pytest.approx(xxhash.xxh64_intdigest(data) / 2**64)
 
 
 def test_subtract(spark):
@@ -104,6 +112,129 @@ def test_writers_bound_their_objects(spark):
     assert sorted((r["series"], r["epoch_ns"], r["v"]) for r in back.collect()) == [('{"a":"b"}', e * P.NS, float(e)) for e in range(1, 100)]
 
 
+def test_subtract_equals_grid(spark):
+    r = random.Random(1)
+    ranges = lambda n: [(k, a, a + 10 * r.randint(0, 6)) for k in "ab" for a in (10 * r.randint(0, 60) for _ in range(n))]
+    needs, haves = [("a", 0, 200), ("a", 300, 500), ("b", 100, 400), ("c", 0, 50)], ranges(12)
+    frame = lambda rows: spark.createDataFrame(rows, "key string, start long, end long")
+    there = {(k, x) for k, a, b in haves for x in range(a, b + 1, 10)}
+    want = {(k, x) for k, a, b in needs for x in range(a, b + 1, 10)} - there
+    got = intervals.subtract(frame(needs), frame(haves), 10).collect()
+    assert sorted((g["key"], x) for g in got for x in range(g["start"], g["end"] + 1, 10)) == sorted(want)
+
+
+def test_splice_covers_each_range_once(spark):
+    r = random.Random(2)
+    rows = [(str(i), a, a + 10 * r.randint(0, 40)) for i, a in enumerate(10 * r.randint(0, 50) for _ in range(60))]
+    frame = spark.createDataFrame(rows, "key string, start long, end long")
+    for kw in ({"most": 70}, {"most": 120, "cadence": 120}, {"points": 5}):
+        got = intervals.splice_any(frame, 10, **kw).collect()
+        assert sorted((g["key"], x) for g in got for x in range(g["start"], g["end"] + 1, 10)) == sorted((k, x) for k, a, b in rows for x in range(a, b + 1, 10))
+        assert all(g["end"] - g["start"] <= kw.get("most", 40) for g in got)
+        assert all(g["start"] // 120 == g["end"] // 120 for g in got if "cadence" in kw)
+
+
+def test_quantile_of_many_values(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, 1, float(v), 0) for g, n in (("a", 3000), ("b", 7)) for v in r.normal(size=n).round(2)]
+    got = {x["series"]: x["v"] for x in rank.quantile(points(spark, rows), 0.37, ["series"]).collect()}
+    assert all(got[g] == pytest.approx(np.quantile([x[2] for x in rows if x[0] == g], 0.37)) for g in "ab")
+
+
+def test_numbered(spark):
+    rows = [(i, (i * 7919) % 1000) for i in range(1000)]
+    got = order.numbered(spark.createDataFrame(rows, "i int, k int"), [F.col("k")]).collect()
+    assert all(x["nth"] == x["k"] for x in got)
+
+
+def test_conflicts_by_bits(spark):
+    p = points(spark, [("a", 1, 0.0, 0), ("a", 1, -0.0, 1), ("b", 1, NAN, 0), ("b", 1, NAN, 1)])
+    assert [x["series"] for x in merge.conflicts(p).collect()] == ["a"]
+
+
+def test_envelopes_in_order(spark):
+    rows = [(1, 0, "error", "first", ["w0"]), (1, 1, "success", None, ["w1"]), (1, 2, "error", "late", None), (2, 0, "error", "x", None), (2, 1, "error", "y", None)]
+    d = spark.createDataFrame(rows, "k int, src_order int, status string, error string, warnings array<string>")
+    got = {x["k"]: (x["status"], x["error"], x["warnings"]) for x in meta.merge_envelopes(d, ["k"]).collect()}
+    assert got == {1: ("success", "", ["w0", "w1", "first", "late"]), 2: ("error", "x", ["y"])}
+
+
+def test_instant_sort_needs_a_vector(spark):
+    two = points(spark, [("a", 1, 2.0, 0), ("b", 1, 1.0, 0)])
+    assert [x["series"] for x in rank.instant_sort(two, at="epoch_ns").collect()] == ["b", "a"]
+    kinds = two.withColumn("kind", F.when(F.col("series") == "a", "histogram").otherwise("value"))
+    assert [x["series"] for x in rank.instant_sort(kinds).collect()] == ["b"]
+    assert not rank.is_vector(points(spark, [("a", 1, 2.0, 0), ("a", 2, 1.0, 0)]), "series", "epoch_ns")
+
+
+def test_histograms_that_touch(spark):
+    rows = [("a", 1, -1.0, 1.0, 2.0, True, True), ("a", 1, 1.0, 2.0, 3.0, True, False), ("a", 1, 2.0, 4.0, 1.0, True, True)]
+    d = spark.createDataFrame(rows, "series string, epoch_ns long, lower double, upper double, count double, lower_in boolean, upper_in boolean")
+    assert sorted(tuple(x)[2:] for x in histogram.add(d).collect()) == [(-1.0, 2.0, 5.0, True, False), (2.0, 4.0, 1.0, True, True)]
+    assert histogram.divide(d, 0).count() == 0
+
+
+def test_histograms_that_are_none(spark):
+    bad = ['{"count":"x","sum":"1"}', '{"count":"1","sum":"1","schema":9}', '{"count":"1","sum":"1","positive_spans":[{"offset":0,"length":2}],"positive_deltas":[1]}', '{"count":"1","sum":"1","buckets":[[0,"2","1","1"]]}', None]
+    good = ['{"count":"1","sum":"1","buckets":[[3,"-1","1","1"]]}', '{"count":"0","sum":"0"}', '{"count":"1","sum":"1","schema":-1,"positive_spans":[{"offset":1,"length":1}],"positive_deltas":[1]}']
+    got = histogram.parse(spark.createDataFrame([(x,) for x in bad + good], "v_raw string")).collect()
+    assert [x["v_raw"] for x in got] == good
+    assert [tuple(b) for b in got[2]["buckets"]] == [(1.0, 4.0, 1.0, False, True)] and [tuple(b) for b in got[0]["buckets"]] == [(-1.0, 1.0, 1.0, True, True)]
+
+
+def test_numbers_of_histograms(spark):
+    d = spark.createDataFrame([(x,) for x in (1.0, 0.1, 1e21, 1e-7, math.inf, -2.5, 0.0)], "x double")
+    assert [r[0] for r in d.select(histogram.number_text(F.col("x"))).collect()] == ["1", "0.1", "1e+21", "1e-07", "+Inf", "-2.5", "0"]
+
+
+def test_influx_json_has_no_nan(spark):
+    p = spark.createDataFrame([("{}", 1, NAN), ("{}", 1_500_000_000, 1.5)], "series string, epoch_ns long, v double")
+    assert [json.loads(r["json"])["values"] for r in wire.write_influx(p, None).collect()] == [[["1970-01-01T00:00:00.000000001Z", None], ["1970-01-01T00:00:01.5Z", 1.5]]]
+
+
+def test_results_of_all_types(spark):
+    docs = ['{"status":"success","data":{"resultType":"scalar","result":[5,"1.5"]}}', '{"data":{"resultType":"vector","result":[{"metric":{"a":"b"},"value":[5,"2"]},{"metric":{},"histogram":[6,{"count":"1"}]}]}}',
+            '{"data":{"resultType":"matrix","result":[{"metric":{"a":"b"},"values":[[0,"1"],[7.5,"NaN"]],"histograms":[[8,{"sum":"2"}]]}]}}', "{", '{"status":"error","error":"x"}']
+    got = sorted((r["result_type"], r["kind"], r["epoch_ns"], r["v_raw"]) for r in wire.read_results(spark.createDataFrame([(x,) for x in docs], "doc string")).collect())
+    assert got == [("matrix", "histogram", 8 * P.NS, '{"sum":"2"}'), ("matrix", "value", 7_500_000_000, "NaN"), ("scalar", "value", 5 * P.NS, "1.5"), ("vector", "histogram", 6 * P.NS, '{"count":"1"}'), ("vector", "value", 5 * P.NS, "2")]
+    both = spark.createDataFrame([("{}", 5 * P.NS, "2", "value"), ("{}", 5 * P.NS, '{"a":1}', "histogram")], "series string, epoch_ns long, v_raw string, kind string")
+    assert wire.write_vector(both).first()["json"] == '{"metric":{},"histogram":[5,{"a":1}]}' and wire.write_matrix(both).first()["json"] == '{"metric":{},"values":[[5,"2"]],"histograms":[[5,{"a":1}]]}'
+    assert wire.write_scalar(both.limit(0)).first()["json"] == "[]"
+
+
+def test_annotated_tables(spark):
+    doc = '#datatype,string,long,dateTime:RFC3339,double,string\n#group,false,false,false,false,true\n#default,_result,,,7,\n,result,table,_time,_value,host\n,,0,2024-01-01T00:00:00Z,1.5,"a,""b"""\n,,0,2024-01-01T00:00:01.5Z,,x\n,,0,broken\n\n#datatype,string,long,dateTime:RFC3339,long\n#group,false,false,false,false\n#default,_r,,,\n,result,table,_time,n\n,,1,2024-01-01T00:00:02Z,3\n'
+    got = sorted((r["result"], r["series"], r["epoch_ns"], r["field"], r["v"]) for r in tables.read_annotated(spark.createDataFrame([(doc,)], "doc string")).collect())
+    t = 1704067200 * P.NS
+    assert got == [("_r", "{}", t + 2 * P.NS, "n", 3.0), ("_result", '{"host":"a,\\"b\\""}', t, "_value", 1.5), ("_result", '{"host":"x"}', t + 1_500_000_000, "_value", 7.0)]
+    assert formats.of("annotated").read is tables.read_annotated
+    with pytest.raises(ValueError):
+        formats.of("none")
+
+
+def test_rewrites(spark):
+    d = spark.createDataFrame([("http://a.b:80/x/y?k=1&z=2&k=3",), ("nothing",)], "u string")
+    u = F.col("u")
+    got = d.select(R.rewrite(u, "param", "delete", "k", "1"), R.rewrite(u, "param", "replace", "k", "3", "4"), R.rewrite(u, "hostname", "replace", "a", "c"), R.expand("${0}!", u, "^n")).collect()
+    assert tuple(got[0]) == ("http://a.b:80/x/y?z=2&k=3", "http://a.b:80/x/y?k=1&z=2&k=4", "http://c.b:80/x/y?k=1&z=2&k=3", "${0}!") and tuple(got[1]) == ("nothing",) * 3 + ("n!",)
+
+
+def test_range_guard_and_union():
+    D.check_range(0, 10, 10)
+    D.check_range(0, 10, 0)
+    with pytest.raises(D.QueryRangeExceeded):
+        D.check_range(0, 11, 10)
+
+
+def test_tolerance():
+    assert [merge.tolerance_ns(x) for x in (-5, 3, 1 << 62)] == [0, 3_000_000, (1 << 63) - 1]
+
+
+def test_union_of_members(spark):
+    both = merge.union_all([points(spark, [("a", 1, 1.0, 0)]), points(spark, [("a", 1, 2.0, 1)]).drop("src_order")])
+    assert both.count() == 2 and both.filter("src_order IS NULL").count() == 1
+
+
 def test_chunks(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/c"
     wire.write_chunks(points(spark, [("a", e, 1.0, 0) for e in range(0, 1000, 10)]), path, 10, 7)

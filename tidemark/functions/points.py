@@ -71,6 +71,12 @@ def format_epoch(ns: Column, form: str) -> Column:
     return F.date_format(seconds, {"date": "yyyy-MM-dd", "time": "HH:mm:ss", "datetime": "yyyy-MM-dd HH:mm:ss", "rfc3339": "yyyy-MM-dd'T'HH:mm:ss'Z'"}[form])
 
 
+def rfc3339(ns: Column) -> Column:
+    """Time of an epoch in UTC with as many digits of a second as it has."""
+    digits = F.regexp_replace(F.lpad(F.pmod(ns, F.lit(NS)).cast("string"), 9, "0"), "0+$", "")
+    return F.concat(F.date_format(F.timestamp_seconds(whole(ns, NS)), "yyyy-MM-dd'T'HH:mm:ss"), F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(""), F.lit("Z"))
+
+
 def parse_epoch(text: Column) -> Column:
     """Nanoseconds of an integer, whose number of digits tells its unit, or of a SQL time in UTC."""
     n = text.try_cast("long")
@@ -103,3 +109,23 @@ def _byte(n: Column) -> Column:
 
 def _le3(n: Column) -> Column:
     return F.concat(_byte(n % 256), _byte(F.floor(n / 256) % 256), _byte(F.floor(n / 65536) % 256))
+
+
+def tags_text(tags: Column, separator: str = ";") -> Column:
+    """Sorted 'key=value' pairs."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat_ws("=", e["key"], e["value"])), separator)
+
+
+def tag_keys(tags: Column) -> Column:
+    return F.array_sort(F.map_keys(tags))
+
+
+def merge_tags(a: Column, b: Column) -> Column:
+    """Both label maps; of a label in both, the second's value stays."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def pairing_key(name: Column, tags: Column, kind: Column | None = None) -> Column:
+    """What pairs series of different queries: name and labels, without the query; with ``kind`` None values and histograms pair as well."""
+    parts = [F.coalesce(name, F.lit("")), tags_json(tags)]
+    return F.concat_ws("\u001f", *parts, *([kind] if kind is not None else []))

@@ -40,7 +40,8 @@ def number_rule(op: str, value: Column, argument: str, negate: bool = False) ->
     """eq, gt, lt, ge, le, bt ('lo-hi', both ends in), modulo; '' where either isn't a number."""
     v = value.try_cast("double")
     if op == "bt":
-        low, _, high = argument[:1] + argument[1:].partition("-")[0], "-", argument[1:].partition("-")[2]
+        # Split at the first hyphen; a negative lower bound is no number then.
+        low, _, high = argument.partition("-")
         a, b = (F.lit(x).try_cast("double") for x in (low, high))
         return _said(v.between(a, b), negate)
     a = F.lit(argument).try_cast("double")
@@ -68,6 +69,107 @@ def url_part(url: Column, name: str, key: str | None = None) -> Column:
     return F.regexp_extract(url, rf"[?&]{re.escape(key or '')}=([^&#]*)", 1) if name == "param" else plain[name]
 
 
+def from_base64(text: Column) -> Column:
+    """The decoded input; '' where it isn't base64."""
+    whole = text.rlike("^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    return F.when(whole, F.coalesce(F.decode(F.unbase64(F.when(whole, text)), "UTF-8"), F.lit(""))).otherwise("")
+
+
+def header(headers: Column, name: str) -> Column:
+    """Value of a header by its name in any case; '' if absent."""
+    found = F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == name.lower()))
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+
+
+def expand(template: str, value: Column, pattern: str) -> Column:
+    """``template`` with ${0}, ${1} or ${name} replaced by what ``pattern`` captures in ``value``; unknown names stay, as all do without a match."""
+    groups = re.compile(pattern)
+    names = {str(i): i for i in range(groups.groups + 1)} | dict(groups.groupindex)
+    java = re.sub(r"\(\?P<", "(?<", pattern)
+    parts = re.split(r"\$\{([^}]*)\}", template)
+    filled = [F.lit(x) if i % 2 == 0 else F.regexp_extract(value, java, names[x]) if x in names else F.lit("${" + x + "}") for i, x in enumerate(parts)]
+    return F.when(value.rlike(java), F.concat(*filled)).otherwise(F.lit(template))
+
+
+def decide_each(value: Column, cases: list[tuple[Column, str]], default: str) -> Column:
+    """The case-argument form: each case has its own predicate on the input ('true' holds), and the last that holds wins."""
+    return reduce(lambda rest, c: F.when(c[0] == "true", F.lit(c[1])).otherwise(rest), cases, F.lit(default))
+
+
+_URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?"
+
+
+def _join(scheme: Column, host: Column, port: Column, path: Column, query: Column) -> Column:
+    return F.concat(scheme, F.lit("://"), host, F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def rewrite(url: Column, part: str, how: str, *args: str) -> Column:
+    """``url`` with a part rewritten.
+
+    part: scheme, host (name and port), hostname, port, path, params, param.
+    how: 'set' (value), 'replace' (search, value), 'delete' (port, params,
+    param), 'append' (param). path 'set' and 'replace' take a depth last: that
+    path segment alone, from 0. param takes its name first; its 'replace' and
+    'delete' may be held to one value.
+    """
+    g = lambda i: F.regexp_extract(url, _URL, i)
+    scheme, host, path, query = g(1), g(2), g(4), F.substr(g(5), F.lit(2))
+    port = F.substr(g(3), F.lit(2))
+    edit = lambda old: F.lit(args[0]) if how == "set" else F.replace(old, F.lit(args[0]), F.lit(args[1])) if how == "replace" else F.lit("")
+    if part == "scheme":
+        scheme = edit(scheme)
+    elif part == "hostname":
+        host = edit(host)
+    elif part == "port":
+        port = edit(port)
+    elif part == "host":
+        both = edit(F.concat(host, g(3)))
+        host, port = F.substring_index(both, ":", 1), F.regexp_extract(both, ":([0-9]+)$", 1)
+    elif part == "path":
+        depth = args[1 if how == "set" else 2] if len(args) > (1 if how == "set" else 2) else None
+        if depth is None:
+            path = edit(path)
+        else:
+            segments = F.split(F.substr(path, F.lit(2)), "/")
+            path = F.concat(F.lit("/"), F.array_join(F.transform(segments, lambda s, i: F.when(i == int(depth), edit(s)).otherwise(s)), "/"))
+    elif part == "params":
+        query = edit(query)
+    else:
+        query = _rewrite_param(query, how, *args)
+    return F.when(url.rlike(_URL), _join(scheme, host, port, path, query)).otherwise(url)
+
+
+def _rewrite_param(query: Column, how: str, name: str, *args: str) -> Column:
+    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+    mine = lambda p: F.substring_index(p, "=", 1) == name
+    value = lambda p: F.substr(p, F.lit(len(name) + 2))
+    made = lambda v: F.array(F.lit(f"{name}={v}"))
+    if how == "set":
+        out = F.concat(F.filter(pairs, lambda p: ~mine(p)), made(args[0]))
+    elif how == "append":
+        out = F.concat(pairs, made(args[0]))
+    elif how == "delete":
+        out = F.filter(pairs, lambda p: ~(mine(p) & (value(p) == args[0]) if args else mine(p)))
+    else:
+        out = F.transform(pairs, lambda p: F.when(mine(p), F.concat(F.lit(f"{name}="), F.replace(value(p), F.lit(args[0]), F.lit(args[1])))).otherwise(p))
+    return F.array_join(out, "&")
+
+
+def rewrite_all(url: Column, steps: list[tuple]) -> Column:
+    """A chain of rewrites, each on the outcome of the one before."""
+    return reduce(lambda u, step: rewrite(u, *step), steps, url)
+
+
+def rewrite_header(headers: Column, how: str, name: str, *args: str) -> Column:
+    """A header map with one header set, appended to, replaced in, or deleted."""
+    rest = F.map_filter(headers, lambda k, _: F.lower(k) != name.lower())
+    old = header(headers, name)
+    if how == "delete":
+        return rest
+    new = {"set": lambda: F.lit(args[0]), "append": lambda: F.when(old == "", F.lit(args[0])).otherwise(F.concat(old, F.lit(", " + args[0]))), "replace": lambda: F.replace(old, F.lit(args[0]), F.lit(args[1]))}[how]()
+    return F.map_concat(rest, F.create_map(F.lit(name), new))
+
+
 def decide(value: Column, cases: list[tuple[str, str]], default: str) -> Column:
     """The outcome of the last case whose match equals ``value``."""
     return reduce(lambda rest, c: F.when(value == c[0], F.lit(c[1])).otherwise(rest), cases, F.lit(default))

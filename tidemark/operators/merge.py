@@ -51,13 +51,21 @@ def average_over_members(points: DataFrame, members: int, keys: tuple[str, ...]
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` behind a reliable checkpoint, in ``spark.checkpoint.dir`` or, where a session names none, a folder of its own."""
+    """``df`` behind a reliable checkpoint in ``spark.checkpoint.dir``; only a local session that names none gets a folder of its own."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
+def tolerance_ns(milliseconds: int) -> int:
+    """A tolerance in nanoseconds: none below zero, and no more than a long holds."""
+    return min(max(0, milliseconds) * 1_000_000, (1 << 63) - 1)
+
+
 def dedup_within(points: DataFrame, tolerance_ns: int, slab_ns: int, value: str = "v") -> DataFrame:
     """Drop a point at most ``tolerance_ns`` after the last one kept; the first seen of equal epochs stays.
 
@@ -96,27 +104,91 @@ def coalesce_replicas(points: DataFrame, order: str = "replica_order", keys: tup
 
 
 def conflicts(points: DataFrame, keys: tuple[str, ...] = KEY, value: str = "v") -> DataFrame:
-    """Keys whose replicas hold different values."""
-    return points.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo <> hi").select(*keys)
+    """Keys whose replicas hold different values, told apart to the last bit: 0.0 and -0.0 differ, all NaN are one."""
+    v = F.col(value).cast("string")
+    return points.groupBy(*keys).agg(F.min(v).alias("lo"), F.max(v).alias("hi")).filter("lo <> hi").select(*keys)
+
+
+def ratio(points: DataFrame, total: str, count: str, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Merged ``total`` by merged ``count`` of members that hold both, where the count isn't 0: one scan, one aggregation."""
+    both = points.groupBy(*keys).agg(_or_nan(F.sum(number(F.col(total)))).alias("s"), F.sum(count).alias("n"))
+    return both.filter("n <> 0").select(*keys, (F.col("s") / F.col("n")).alias("v"))
+
+
+def _sides(sums: DataFrame, counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Per key the merged sum and count of two results, and which of them have the key: one shuffle for both."""
+    nothing = F.lit(None).cast("double")
+    s = sums.select(*keys, F.col("v").alias("_s"), nothing.alias("_n"), F.lit(True).alias("_is_sum"))
+    n = counts.select(*keys, nothing.alias("_s"), F.col("v").alias("_n"), F.lit(False).alias("_is_sum"))
+    return s.unionByName(n).groupBy(*keys).agg(
+        _or_nan(F.sum(number(F.col("_s")))).alias("s"), _or_nan(F.sum(number(F.col("_n")))).alias("n"),
+        F.max(F.col("_is_sum")).alias("has_sum"), F.max(~F.col("_is_sum")).alias("has_count"),
+    )
 
 
 def weighted_average(sums: DataFrame, counts: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     """sum / count where both are there and the count isn't 0."""
-    s = merge(sums, "sum", keys).withColumnRenamed("v", "s")
-    n = merge(counts, "sum", keys).withColumnRenamed("v", "n")
-    return s.join(n, list(keys)).filter("n <> 0").select(*keys, (F.col("s") / F.col("n")).alias("v"))
+    return _sides(sums, counts, keys).filter("has_sum AND has_count AND n <> 0").select(*keys, (F.col("s") / F.col("n")).alias("v"))
+
+
+def unaveraged(sums: DataFrame, counts: DataFrame, keys: tuple[str, ...] = KEY, series: str = "series") -> DataFrame:
+    """Per series of ``sums`` the points that ``weighted_average`` leaves out, and whether the series has no count at all: its warnings."""
+    lost = F.col("has_sum") & (~F.col("has_count") | (F.col("n") == 0))
+    told = _sides(sums, counts, keys).groupBy(series).agg(F.count(F.when(lost, 1)).alias("dropped"), F.max("has_sum").alias("_s"), (~F.max("has_count")).alias("no_count"))
+    return told.filter("_s AND dropped > 0").select(series, "dropped", "no_count")
+
+
+def prune_series(sums: DataFrame, counts: DataFrame, series: str = "series") -> tuple[DataFrame, DataFrame]:
+    """Points of series that the other side has as well, and the names of series that it lacks."""
+    there = counts.select(series).distinct()
+    return sums.join(there, series, "left_semi"), sums.select(series).distinct().join(there, series, "left_anti")
+
+
+def pair_states(points: DataFrame, keys: tuple[str, ...] = KEY) -> tuple[DataFrame, DataFrame]:
+    """(member, keys, n, mean, var) of points that a member has as count, mean and variance, and per member how many were dropped.
+
+    ``points`` has member, variant ('count', 'mean', 'variance') and v. A point
+    is dropped if a variant is missing, has two different values, or makes no
+    state: counts must be whole and positive, variances not negative.
+    """
+    value = lambda name: F.when(F.col("variant") == name, F.col("v"))
+    one = lambda name: F.min(value(name).cast("string")) == F.max(value(name).cast("string"))
+    met = points.groupBy("member", *keys).agg(
+        F.max(value("count")).alias("n"), F.max(value("mean")).alias("mean"), F.max(value("variance")).alias("var"), F.coalesce(one("count") & one("mean") & one("variance"), F.lit(False)).alias("paired")
+    )
+    n, var = F.col("n"), F.col("var")
+    whole = ~F.isnan(n) & (n > 0) & (n < float("inf")) & (F.floor(n) == n)
+    told = met.withColumn("good", F.col("paired") & whole & (F.isnan(var) | (var >= 0)))
+    return told.filter("good").select("member", *keys, "n", "mean", "var"), told.filter("NOT good").groupBy("member").agg(F.count(F.lit(1)).alias("dropped"))
 
 
 def pooled_variance(states: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """(n, mean, var) states of members into one population variance, by Chan's rule; NaN and infinity spread."""
+    """(n, mean, var) states of members into one population variance, by Chan's rule; NaN and infinity spread.
+
+    One scan and one shuffle: a point's members are as few as the federation has.
+    """
     n, m, v = F.col("n"), F.col("mean"), F.col("var")
-    total = states.filter("n > 0").groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(n * m).alias("s1"), F.sum(n * (v + m * m)).alias("s2"), F.min("mean").alias("shift"))
     # Means are centred on one of them before squaring, which keeps the digits.
-    centred = states.filter("n > 0").join(total.select(*keys, "shift"), list(keys)).groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum(n * (m - F.col("shift"))).alias("d1"), F.sum(n * (v + (m - F.col("shift")) ** 2)).alias("d2")
-    )
+    centred = states.filter("n > 0").withColumn("_d", m - F.min(m).over(Window.partitionBy(*keys)))
+    sums = centred.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(n * F.col("_d")).alias("d1"), F.sum(n * (v + F.col("_d") ** 2)).alias("d2"))
     variance = F.col("d2") / F.col("n") - (F.col("d1") / F.col("n")) ** 2
-    return centred.select(*keys, F.when(F.isnan(variance), F.lit(NAN)).otherwise(F.greatest(variance, F.lit(0.0))).alias("v"))
+    return sums.select(*keys, F.when(F.isnan(variance), F.lit(NAN)).otherwise(F.greatest(variance, F.lit(0.0))).alias("v"))
+
+
+def variance_of(points: DataFrame, keys: tuple[str, ...], value: str = "v") -> DataFrame:
+    """Population variance of merged inner values; one value gives 0, NaN and infinity give NaN."""
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return points.groupBy(*keys).agg(F.when(F.min(finite), F.var_pop(value)).otherwise(F.lit(NAN)).alias(value))
+
+
+def group(points: DataFrame, keys: tuple[str, ...], value: str = "v") -> DataFrame:
+    """1 for each key that has a point."""
+    return points.select(*keys).distinct().withColumn(value, F.lit(1.0))
+
+
+def count_values(points: DataFrame, keys: tuple[str, ...], value: Column, label: str) -> DataFrame:
+    """How many points of a key have each value, which becomes the label ``label``."""
+    return points.groupBy(*keys, value.alias(label)).agg(F.count(F.lit(1)).alias("count"))
 
 
 def complete_points(points: DataFrame, variants: int, keys: tuple[str, ...] = KEY) -> DataFrame:
@@ -125,6 +197,12 @@ def complete_points(points: DataFrame, variants: int, keys: tuple[str, ...] = KE
     return points.join(whole, ["member", *keys], "left_semi")
 
 
+def complete_members(points: DataFrame, variants: int) -> DataFrame:
+    """Points of members that answered with all variants of the query."""
+    whole = points.groupBy("member").agg(F.countDistinct("variant").alias("c")).filter(F.col("c") == variants).select("member")
+    return points.join(whole, "member", "left_semi")
+
+
 def drop_mixed(points: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Without points that are both a value and a histogram."""
     one = points.groupBy(*keys).agg(F.min("kind").alias("a"), F.max("kind").alias("b")).filter("a = b").select(*keys)

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import buckets as B
+from tidemark.functions import durations as D
 from tidemark.functions import points as P
 from tidemark.functions import rules as R
 from tidemark.operators import histogram, intervals, merge, meta, rank
+from tidemark.sources import tables as T
 from tidemark.sources import wire
 from tidemark.streaming import rollup
 
@@ -124,8 +126,7 @@ def merge_avg_over_members(spark, d):
 
 @query(PER_DAY.format("round(avg(value), 6) AS v"))
 def agg_avg_by(spark, d):
-    m = members(spark, d)
-    return merge.weighted_average(m.withColumn("v", F.col("s")), m.withColumn("v", F.col("n"))).select("series", "epoch_ns", F.round("v", 6).alias("v"))
+    return merge.ratio(members(spark, d), "s", "n").select("series", "epoch_ns", F.round("v", 6).alias("v"))
 
 
 @query(PER_DAY.format("round(var_pop(value), 3) AS v"))
@@ -140,17 +141,17 @@ def agg_stddev_pooled(spark, d):
 
 @query(DAILY + "SELECT event_type, day, round(var_pop(v), 3) AS v FROM p GROUP BY 1, 2")
 def agg_stdvar_central(spark, d):
-    return daily(spark, d).groupBy("event_type", "day").agg(F.round(F.var_pop("v"), 3).alias("v"))
+    return merge.variance_of(daily(spark, d), ("event_type", "day")).withColumn("v", F.round("v", 3))
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, 1.0::DOUBLE AS v FROM events GROUP BY 1, 2")
 def agg_group(spark, d):
-    return table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct().withColumn("v", F.lit(1.0))
+    return merge.group(table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ("event_type", "day"))
 
 
 @query("SELECT event_type, CAST(floor(value) AS BIGINT) AS bin, count(*) AS cnt FROM events GROUP BY 1, 2")
 def agg_count_values(spark, d):
-    return table(spark, d, "events").groupBy("event_type", F.floor("value").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
+    return merge.count_values(table(spark, d, "events"), ("event_type",), F.floor("value"), "bin").withColumnRenamed("count", "cnt")
 
 
 @query(DAILY + "SELECT event_type, day, round(quantile_cont(v, 0.9), 5) AS v FROM p GROUP BY 1, 2")
@@ -286,7 +287,7 @@ def extents_timestamp_count(spark, d):
 
 
 def _month(spark, d):
-    return _active_days(spark, d).select("key").distinct().withColumn("start", F.lit(1704067200).cast("long")).withColumn("end", F.lit(1704067200 + 30 * DAY).cast("long"))
+    return table(spark, d, "events").select(F.col("user_id").alias("key")).distinct().withColumn("start", F.lit(1704067200).cast("long")).withColumn("end", F.lit(1704067200 + 30 * DAY).cast("long"))
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id AS key, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS pt FROM events),
@@ -360,10 +361,10 @@ def series_sets(spark, d):
     return meta.label_sets(table(spark, d, "events").select(P.tags_json(P.tags_of("user_id", "event_type")).alias("series")))
 
 
-@query("SELECT count(DISTINCT event_type || ':' || user_id) AS series_count, count(*) AS point_count, count(DISTINCT ts) AS timestamp_count FROM events")
+@query("SELECT count(DISTINCT event_type || ':' || user_id) AS series_count, count(*) AS point_count, count(DISTINCT ts) AS timestamp_count, count(event_id) AS value_count, CAST(sum(length(CAST(event_id AS VARCHAR)) + 16) AS BIGINT) AS size FROM events")
 def result_counters(spark, d):
     e = table(spark, d, "events")
-    return meta.counters(e.select(P.tags_json(P.tags_of("event_type", "user_id")).alias("series"), P.epoch_ns(F.col("ts")).alias("epoch_ns")))
+    return meta.counters(e.select(P.tags_json(P.tags_of("event_type", "user_id")).alias("series"), P.epoch_ns(F.col("ts")).alias("epoch_ns"), F.col("event_id").alias("v")))
 
 
 @query("SELECT user_id, state, value FROM (SELECT user_id, value, CASE WHEN value > 90 THEN 'firing' WHEN value > 60 THEN 'pending' ELSE 'inactive' END AS state, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value > 90 THEN 2 WHEN value > 60 THEN 1 ELSE 0 END DESC, event_id) AS r FROM events) WHERE r = 1")
@@ -446,5 +447,5 @@ def matrix_round_trip(spark, d):
 def typed_rows_round_trip(spark, d):
     """Points written as tab-separated lines and read again."""
     e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"), "event_type", "value")
-    back = wire.read_typed_rows(wire.write_typed_rows(e), ["t", "event_type", "value"], "t", ["event_type"])
+    back = T.read_typed_rows(T.write_typed_rows(e), ["t", "event_type", "value"], "t", ["event_type"])
     return back.groupBy(F.col("tags")["event_type"].alias("event_type"), P.whole(F.col("epoch_ns"), P.NS).alias("s")).agg(F.count(F.lit(1)).alias("n"))

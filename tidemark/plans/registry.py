@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.plans import more_queries  # noqa: F401  registers its queries
 from tidemark.plans import queries as _q
 
 

@@ -6,23 +6,57 @@ text, so that Spark's own sources and sinks do the reading and writing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.points import NS, parse_epoch, parse_value, tags_json, whole
+from tidemark.functions.points import NS, parse_epoch, parse_value, rfc3339, tags_json, whole
+from tidemark.operators import intervals
 
-MATRIX = "struct<status:string,error:string,errorType:string,warnings:array<string>,data:struct<resultType:string,result:array<struct<metric:map<string,string>,values:array<array<string>>,value:array<string>>>>>"
+ENVELOPE = "struct<status:string,error:string,errorType:string,warnings:array<string>,data:struct<resultType:string,result:string>>"
+SERIES = "array<struct<metric:map<string,string>,values:array<array<string>>,histograms:array<array<string>>,value:array<string>,histogram:array<string>>>"
 INFLUX = "struct<results:array<struct<statement_id:int,series:array<struct<name:string,tags:map<string,string>,columns:array<string>,values:array<array<string>>>>>>>"
 
 
-def read_matrix(docs: DataFrame) -> DataFrame:
-    """Points of matrix and vector documents; points at or before the epoch, or malformed, are dropped."""
-    parsed = docs.select(F.from_json("doc", MATRIX).alias("d")).select("d.status", F.explode("d.data.result").alias("r"))
-    pairs = F.coalesce(F.col("r.values"), F.array(F.col("r.value")))
-    rows = parsed.select(F.col("r.metric").alias("tags"), F.explode(pairs).alias("p"))
+def read_results(docs: DataFrame) -> DataFrame:
+    """Points of matrix, vector and scalar documents: result_type, tags, series, kind ('value' or 'histogram'), epoch_ns, v_raw, v.
+
+    A series with values and histograms gives rows of both kinds; v_raw of a
+    histogram is its JSON, v is null. Points at or before the epoch, or
+    malformed, are dropped.
+    """
+    parsed = docs.select(F.from_json("doc", ENVELOPE).alias("d")).select(F.coalesce("d.data.resultType", F.lit("matrix")).alias("result_type"), F.col("d.data.result").alias("result"))
+    pair = lambda kind, p: F.struct(F.lit(kind).alias("kind"), p.alias("p"))
+    none = F.array().cast("array<array<string>>")
+    one = lambda p: F.when(F.size(p) == 2, F.array(p)).otherwise(none)
+    listed = parsed.filter("result_type <> 'scalar'").select("result_type", F.explode(F.from_json("result", SERIES)).alias("r"))
+    values = F.coalesce("r.values", one(F.col("r.value")), none)
+    histograms = F.coalesce("r.histograms", one(F.col("r.histogram")), none)
+    series = listed.select("result_type", F.col("r.metric").alias("tags"), F.explode(F.concat(F.transform(values, lambda p: pair("value", p)), F.transform(histograms, lambda p: pair("histogram", p)))).alias("x"))
+    no_tags = F.create_map().cast("map<string,string>")
+    scalars = parsed.filter("result_type = 'scalar'").select("result_type", no_tags.alias("tags"), pair("value", F.from_json("result", "array<string>")).alias("x"))
+    rows = series.unionByName(scalars).select("result_type", F.coalesce("tags", no_tags).alias("tags"), "x.kind", "x.p").filter(F.size("p") == 2)
     at = F.round(F.get("p", F.lit(0)).try_cast("double") * 1000).cast("long") * 1_000_000
-    points = rows.select("tags", tags_json(F.col("tags")).alias("series"), at.alias("epoch_ns"), F.get("p", F.lit(1)).alias("v_raw"))
-    return points.withColumn("v", parse_value(F.col("v_raw"))).filter("epoch_ns > 0 AND v_raw IS NOT NULL")
+    points = rows.select("result_type", "tags", tags_json(F.col("tags")).alias("series"), "kind", at.alias("epoch_ns"), F.get("p", F.lit(1)).alias("v_raw"))
+    return points.withColumn("v", F.when(F.col("kind") == "value", parse_value(F.col("v_raw")))).filter("epoch_ns > 0 AND v_raw IS NOT NULL")
+
+
+def read_matrix(docs: DataFrame) -> DataFrame:
+    """The values alone of ``read_results``: tags, series, epoch_ns, v_raw, v."""
+    return read_results(docs).filter("kind = 'value'").select("tags", "series", "epoch_ns", "v_raw", "v")
+
+
+def envelope(data: Column, status: str = "success", error: str = "", error_type: str = "", warnings: list[str] | None = None) -> Column:
+    """A whole response around ``data`` (JSON); empty parts aren't written."""
+    head = {"status": status} | ({"error": error} if error else {}) | ({"errorType": error_type} if error_type else {}) | ({"warnings": warnings} if warnings else {})
+    return F.concat(F.lit(json.dumps(head, ensure_ascii=False, separators=(",", ":"))[:-1]), F.when(data.isNotNull(), F.concat(F.lit(',"data":'), data)).otherwise(""), F.lit("}"))
+
+
+def result(objects: Column, result_type: str) -> Column:
+    """The data part of a response that holds ``objects``."""
+    open_, close = ("[", "]") if result_type != "scalar" else ("", "")
+    return F.concat(F.lit(f'{{"resultType":"{result_type}","result":{open_}'), objects, F.lit(f"{close}}}"))
 
 
 def _chunk(step_ns: int, factor: int):
@@ -30,12 +64,40 @@ def _chunk(step_ns: int, factor: int):
     return F.floor(F.col("epoch_ns") / (step_ns * factor)).alias("chunk")
 
 
+def _seconds() -> Column:
+    return F.regexp_replace((F.col("epoch_ns").cast("decimal(20,0)") / NS).cast("decimal(20,9)").cast("string"), r"\.?0+$", "")
+
+
+def _pair() -> Column:
+    """[seconds, value]; a histogram's JSON as it is, a value as a string."""
+    is_value = F.col("kind") == "value"
+    mark = F.when(is_value, F.lit('"')).otherwise("")
+    return F.concat(F.lit("["), _seconds(), F.lit(","), mark, F.col("v_raw"), mark, F.lit("]"))
+
+
+def _kinds(points: DataFrame) -> DataFrame:
+    return points if "kind" in points.columns else points.withColumn("kind", F.lit("value"))
+
+
 def write_matrix(points: DataFrame, step_ns: int = NS, factor: int = 420) -> DataFrame:
-    """One JSON object per series and aligned chunk of ``factor`` steps: metric and values in time order."""
-    pair = F.struct(F.col("epoch_ns"), F.concat(F.lit("["), (F.col("epoch_ns") / NS).cast("decimal(20,3)").cast("string"), F.lit(',"'), F.col("v_raw"), F.lit('"]')).alias("p"))
-    grouped = points.groupBy("series", _chunk(step_ns, factor)).agg(F.array_sort(F.collect_list(pair)).alias("ps"))
-    body = F.array_join(F.transform("ps", lambda x: x["p"]), ",")
-    return grouped.select("series", F.concat(F.lit('{"metric":'), F.col("series"), F.lit(',"values":['), body, F.lit("]}")).alias("json"))
+    """One JSON object per series and aligned chunk of ``factor`` steps: metric, values and histograms, each in time order."""
+    pair = F.struct("epoch_ns", _pair().alias("p"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, pair))).alias(kind)
+    grouped = _kinds(points).groupBy("series", _chunk(step_ns, factor)).agg(of("value"), of("histogram"))
+    body = lambda kind, name: F.when(F.size(kind) > 0, F.concat(F.lit(f',"{name}":['), F.array_join(F.transform(kind, lambda x: x["p"]), ","), F.lit("]"))).otherwise("")
+    return grouped.select("series", F.concat(F.lit('{"metric":'), F.col("series"), body("value", "values"), body("histogram", "histograms"), F.lit("}")).alias("json"))
+
+
+def write_vector(points: DataFrame) -> DataFrame:
+    """One JSON object per series with its first point; of a value and a histogram the histogram is written."""
+    first = F.min(F.struct((F.col("kind") == "value").alias("late"), F.col("epoch_ns"), F.when(F.col("kind") == "value", "value").otherwise("histogram").alias("name"), _pair().alias("p"))).alias("x")
+    return _kinds(points).groupBy("series").agg(first).select("series", F.concat(F.lit('{"metric":'), F.col("series"), F.lit(',"'), F.col("x.name"), F.lit('":'), F.col("x.p"), F.lit("}")).alias("json"))
+
+
+def write_scalar(points: DataFrame) -> DataFrame:
+    """One row: the first point as [seconds, "value"], or [] of no points."""
+    first = _kinds(points).agg(F.min(F.struct("epoch_ns", _pair().alias("p"))).alias("x"))
+    return first.select(F.coalesce("x.p", F.lit("[]")).alias("json"))
 
 
 def read_influx(docs: DataFrame) -> DataFrame:
@@ -48,42 +110,26 @@ def read_influx(docs: DataFrame) -> DataFrame:
     return cells.filter("epoch_ns IS NOT NULL").select("statement_id", "name", "tags", "epoch_ns", F.col("c.columns").alias("field"), F.col("c.row").alias("value"))
 
 
-def write_influx(points: DataFrame, unit: str = "ms", step_ns: int = NS, factor: int = 420) -> DataFrame:
-    """One JSON object per series and aligned chunk of ``factor`` steps: columns, tags, values."""
-    scale = NS // {"s": 1, "ms": 1000, "us": 10**6, "ns": NS}[unit]
-    pair = F.struct("epoch_ns", F.concat(F.lit("["), whole(F.col("epoch_ns"), scale).cast("string"), F.lit(","), F.col("v").cast("string"), F.lit("]")).alias("p"))
+def write_influx(points: DataFrame, unit: str | None = "ms", step_ns: int = NS, factor: int = 420) -> DataFrame:
+    """One JSON object per series and aligned chunk of ``factor`` steps: columns, tags, values.
+
+    Times are whole numbers of ``unit``, or RFC 3339 without one. What JSON has
+    no number for (NaN, infinities) is null.
+    """
+    at = F.concat(F.lit('"'), rfc3339(F.col("epoch_ns")), F.lit('"')) if unit is None else whole(F.col("epoch_ns"), NS // {"s": 1, "ms": 1000, "us": 10**6, "ns": NS}[unit]).cast("string")
+    v = F.col("v")
+    number = F.when(F.isnan(v) | (F.abs(v) == float("inf")) | v.isNull(), "null").otherwise(v.cast("string"))
+    pair = F.struct("epoch_ns", F.concat(F.lit("["), at, F.lit(","), number, F.lit("]")).alias("p"))
     grouped = points.groupBy("series", _chunk(step_ns, factor)).agg(F.array_sort(F.collect_list(pair)).alias("ps"))
     return grouped.select("series", F.concat(F.lit('{"columns":["time","value"],"tags":'), F.col("series"), F.lit(',"values":['), F.array_join(F.transform("ps", lambda x: x["p"]), ","), F.lit("]}")).alias("json"))
 
 
-def read_typed_rows(lines: DataFrame, names: list[str], time: str, tags: list[str]) -> DataFrame:
-    """Points of tab-separated lines (column ``value``); empty labels make none, lines of another width are skipped."""
-    cells = lines.select(F.split("value", "\t").alias("c")).filter(F.size("c") == len(names))
-    at = {n: F.get("c", F.lit(i)) for i, n in enumerate(names)}
-    labels = F.map_filter(F.create_map(*[x for t in tags for x in (F.lit(t), at[t])]), lambda _, v: v != "") if tags else F.create_map().cast("map<string,string>")
-    fields = F.create_map(*[x for n in names if n != time and n not in tags for x in (F.lit(n), at[n])])
-    rows = cells.select(labels.alias("tags"), parse_epoch(at[time]).alias("epoch_ns"), F.explode(fields).alias("field", "value"))
-    return rows.filter("epoch_ns IS NOT NULL").withColumn("series", tags_json(F.col("tags")))
-
-
-def write_typed_rows(rows: DataFrame, separator: str = "\t") -> DataFrame:
-    """A line per row, with null as \\N; the header lines are the column names and types."""
-    return rows.select(F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in rows.columns]).alias("value"))
-
-
-def header(rows: DataFrame, separator: str = "\t") -> list[str]:
-    """The two header lines: names and types."""
-    kinds = {"bigint": "Int64", "int": "Int32", "double": "Float64", "string": "String", "timestamp": "DateTime", "timestamp_ntz": "DateTime", "date": "Date", "boolean": "Bool"}
-    return [separator.join(rows.columns), separator.join(kinds.get(t, "String") for _, t in rows.dtypes)]
-
-
-def read_annotated(lines: DataFrame, names: list[str], groups: list[str], time: str = "_time", value: str = "_value") -> DataFrame:
-    """Points of annotated CSV lines (column ``value``); ``groups`` are the columns marked as group."""
-    rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "") & ~F.col("value").startswith(",result,"))
-    cells = rows.select(F.from_csv("value", ", ".join(f"`{n or '_c'}` string" for n in names)).alias("c"))
-    labels = F.map_filter(F.create_map(*[x for g in groups if g not in ("_start", "_stop", "table") for x in (F.lit(g), F.col(f"c.{g}"))]), lambda _, v: v.isNotNull() & (v != ""))
-    out = cells.select(labels.alias("tags"), parse_epoch(F.col(f"c.{time}")).alias("epoch_ns"), parse_value(F.col(f"c.{value}")).alias("v"))
-    return out.filter("epoch_ns IS NOT NULL").withColumn("series", tags_json(F.col("tags")))
+def detect(method: str, content_type: str = "", accept: str = "") -> str:
+    """Format of a request: influxql-get, influxql-post, flux-json-json, flux-json-csv, flux-raw-json, flux-raw-csv or unknown."""
+    if method.upper() != "POST":
+        return "influxql-get" if method.upper() == "GET" else "unknown"
+    kind, out = content_type.split(";")[0].strip().lower(), "json" if "application/json" in accept.lower() else "csv"
+    return {"application/x-www-form-urlencoded": "influxql-post", "application/json": f"flux-json-{out}", "application/vnd.flux": f"flux-raw-{out}"}.get(kind, "unknown")
 
 
 def write_chunks(points: DataFrame, path: str, step_ns: int, factor: int = 420) -> None:
@@ -92,6 +138,11 @@ def write_chunks(points: DataFrame, path: str, step_ns: int, factor: int = 420)
     points.withColumn("chunk", F.col("epoch_ns") - F.pmod("epoch_ns", F.lit(width))).write.mode("append").partitionBy("chunk").parquet(path)
 
 
+def chunk_extents(points: DataFrame, step_ns: int) -> DataFrame:
+    """(key, start, end) of the ranges that stored points cover, those of neighbouring chunks joined."""
+    return intervals.from_points(points.select(F.col("series").alias("key"), F.col("epoch_ns").alias("at")), step_ns)
+
+
 def read_chunks(spark, path: str, step_ns: int, start_ns: int, end_ns: int, factor: int = 420) -> DataFrame:
     width = step_ns * factor
     rows = spark.read.parquet(path).filter(F.col("chunk").between(start_ns // width * width, end_ns // width * width))

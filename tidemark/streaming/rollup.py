@@ -35,6 +35,36 @@ def missing(requested: DataFrame, done: DataFrame, step: int, now: int, toleranc
     return intervals.subtract(requested, stable, step)
 
 
+def backfill_tolerance(default: int, step: int, points: int = 0, own: int | None = None) -> int:
+    """Seconds in which buckets may still change: a query's own, none if that is negative, else the longer of the default and ``points`` steps."""
+    if own:
+        return max(0, own)
+    return max(default, points * step)
+
+
+def missing_with_volatile(requested: DataFrame, done: DataFrame, volatile: DataFrame, step: int) -> DataFrame:
+    """Missing ranges and, of keys that miss something, those volatile ones that are requested: a full hit fetches nothing anew."""
+    gaps = intervals.subtract(requested, done, step)
+    asked = requested.select(F.col("key").alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    held = volatile.join(asked, F.col("key") == F.col("_k")).select("key", F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end")).filter("start <= end")
+    again = held.join(gaps.select("key").distinct(), "key", "left_semi")
+    return intervals.compress(gaps.unionByName(again), step)
+
+
+def volatile_after(volatile: DataFrame, requested: DataFrame, fetched: DataFrame, step: int, now: int, tolerance: int) -> DataFrame:
+    """Volatile ranges after a fetch: what was fetched anew is settled, and the requested tail within the tolerance is volatile."""
+    since = now - tolerance
+    tail = requested.filter(F.col("end") > since).select("key", F.greatest("start", F.lit(since)).alias("start"), "end")
+    return intervals.compress(intervals.remove(volatile.select("key", "start", "end"), fetched, step).unionByName(tail), step)
+
+
+def fast_forward(points: DataFrame, freshest: DataFrame, requested_end: int, last: int, step: int, ttl: int, at: str = "bucket") -> DataFrame:
+    """``points`` and the freshest ones, if the request is for the last whole step, they are newer than it, and steps are longer than ``ttl``."""
+    if step <= ttl or requested_end != last:
+        return points
+    return points.unionByName(freshest.filter(F.col(at) > last))
+
+
 def status(requested: DataFrame, done: DataFrame, step: int) -> DataFrame:
     """Per key: kmiss (nothing known), hit (all there), rmiss (nothing of the range), phit (a part)."""
     gaps = intervals.subtract(requested, done, step).groupBy("key").agg(F.sum((F.col("end") - F.col("start")) / step + 1).alias("gap"))
