@@ -40,23 +40,25 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", share: int = 500) -> DataFrame:
-    """The keys with more than a ``share``-th of all rows, by a table of counts; there can be ``share`` of them at most."""
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", share: int = 500) -> list[int]:
+    """Hashes of the keys with more than a ``share``-th of all rows, by a table of counts: ``share`` of them at most, whatever the input's size."""
     total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.filter(F.col(n) * share > total).select(*keys, F.lit(True).alias("_hot"))
+    return [r[0] for r in counts.filter(F.col(n) * share > total).select(F.xxhash64(*keys)).collect()]
 
 
-def join_spread(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], hot: list[int], by: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
     """``left`` joined to ``right``, which has one row a key, so that no hot key meets in one task.
 
-    ``hot`` comes from ``hot_keys``, whose bound makes it safe to broadcast.
-    Its keys are spread over ``salts`` tasks by a hash of the columns ``by``,
-    and only their rows of ``right`` are copied. Null keys join nothing.
+    Rows of the keys in ``hot``, which comes from ``hot_keys``, are spread over
+    ``salts`` tasks by a hash of the columns ``by``, and only their rows of
+    ``right`` are copied. Null keys join nothing.
     """
-    hot = F.broadcast(hot)
-    dealt = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    if not hot:
+        return left.join(right, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
+    dealt = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0))
+    copies = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
