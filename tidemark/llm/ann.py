@@ -144,16 +144,17 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-scores, k - 1, axis=1)[:, :k]
 
 
-def meet(codes, scale, rids, asked_codes, asked_scale, at, reach: int, k: int):
+def meet(codes, scale, rids, asked_codes, asked_scale, at, reach: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and scores of the ``k`` best rows among ``reach`` before and ``reach`` behind its place."""
-    width = min(2 * reach, len(rids))
-    first = np.clip(at - reach, 0, len(rids) - width)
     x, y = codes.astype(np.float32) * scale[:, None], asked_codes.astype(np.float32)
-    scores = np.empty((len(at), width), np.float32)
-    for i, a in enumerate(first.tolist()):
-        np.dot(x[a : a + width], y[i], out=scores[i])
+    scores = np.full((len(at), 2 * reach), -np.inf, np.float32)
+    low, high = np.maximum(at - reach, 0), np.minimum(at + reach, len(rids))
+    for i, (a, b, place) in enumerate(zip(low.tolist(), high.tolist(), at.tolist(), strict=True)):
+        np.dot(x[a:b], y[i], out=scores[i, a - place + reach : b - place + reach])
     picks = best(scores, k)
-    return rids[first[:, None] + picks], np.take_along_axis(scores, picks, axis=1) * asked_scale[:, None]
+    top = np.take_along_axis(scores, picks, axis=1)
+    ids = rids[np.clip(at[:, None] - reach + picks, 0, len(rids) - 1)]
+    return [(i[t > -np.inf], t[t > -np.inf] * s) for i, t, s in zip(ids, top, asked_scale, strict=True)]
 
 
 def _rows(batch: pa.RecordBatch, dim: int):
@@ -178,8 +179,8 @@ def scan(dim: int, reach: int, k: int, last_part: np.ndarray):
         if len(own):
             for a in range(0, len(ask), 4096):
                 some = ask[a : a + 4096]
-                ids, scores = meet(codes[own], scale[own], rid[own], codes[some], scale[some], at[a : a + 4096], reach, k)
-                for query, i, s in zip(rid[some].tolist(), ids, scores, strict=True):
+                met = meet(codes[own], scale[own], rid[own], codes[some], scale[some], at[a : a + 4096], reach, k)
+                for query, (i, s) in zip(rid[some].tolist(), met, strict=True):
                     put(0, query, 0, 0, i.astype("<i8").tobytes(), s.astype("<f4").tobytes())
             pack = lambda r: (rid[r].astype("<i8").tobytes(), scale[r].astype("<f4").tobytes(), codes[r].tobytes())
             if behind:
@@ -229,8 +230,8 @@ def across_edges(dim: int, k: int):
                 if side is None:
                     continue
                 ids, scale, codes = (x[-r["need"] :] if r["kind"] == 3 else x[: r["need"]] for x in side)
-                got, scores = meet(codes, scale, ids, np.frombuffer(r["codes"], np.int8)[None, :], np.frombuffer(r["scores"], "<f4"), np.zeros(1, np.int64), len(ids), k)
-                for name, value in zip(SCAN.names, (0, r["b"], 0, 0, got[0].astype("<i8").tobytes(), scores[0].astype("<f4").tobytes(), None), strict=True):
+                ((got, score),) = meet(codes, scale, ids, np.frombuffer(r["codes"], np.int8)[None, :], np.frombuffer(r["scores"], "<f4"), np.zeros(1, np.int64), len(ids), k)
+                for name, value in zip(SCAN.names, (0, r["b"], 0, 0, got.astype("<i8").tobytes(), score.astype("<f4").tobytes(), None), strict=True):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in SCAN], schema=SCAN)
 
