@@ -1,6 +1,8 @@
 """The corpus operators on small fixtures, against brute force."""
 
 import hashlib
+import json
+import math
 import random
 import re
 import zlib
@@ -8,6 +10,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -166,8 +170,9 @@ def test_blocks_find_links_behind_borderline_pairs(spark):
 
     # Documents 1 and 3 have 163 of 204 shingles in common, just under 0.8; 2 and 4, of the same classes, have 190 of 200.
     shape = [(1, text((1, 164), (1000, 1020))), (2, text((2000, 2195))), (3, text((1, 164), (1100, 1121))), (4, text((2005, 2200)))]
-    rest = spark.createDataFrame([(7, 1, 1, 4), (7, 2, 1, 4), (7, 3, 3, 4), (7, 4, 3, 4)], "key long, doc_id long, root long, n long")
+    rest = spark.createDataFrame([(7, 1, 1, 4, 800), (7, 2, 1, 4, 800), (7, 3, 3, 4, 800), (7, 4, 3, 4, 800)], "key long, doc_id long, root long, n long, s long")
     assert [tuple(r) for r in minhash.across(rest, spark.createDataFrame(shape, "doc_id long, sh binary"), 0.8).collect()] == [(2, 4)]
+    assert [tuple(r) for r in minhash.across(rest, spark.createDataFrame(shape, "doc_id long, sh binary"), 0.8, most=200).collect()] == [(2, 4)]
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -272,15 +277,338 @@ def test_nearest_neighbours(spark):
     assert total == 200 and hit / total >= 0.9
 
 
+def neighbours(x, q, k):
+    s = x @ x[q]
+    s[q] = -np.inf
+    return np.lexsort((np.arange(len(x)), -s))[:k]
+
+
+def test_nearest_neighbours_meet_few_rows(spark):
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(300, 16))[:, None, :] + 0.35 * rng.normal(size=(300, 20, 16))).reshape(-1, 16)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    set_ = {"k": 10, "curves": 96, "rows_on": 24, "queries_on": 44, "reach": 20}
+    assert 2 * set_["reach"] * set_["queries_on"] < 0.3 * len(x)
+    ask = F.col("vec_id") % 40 == 0
+    whole, parts = (sorted(map(tuple, ann.nearest(d, ask, part_rows=p, **set_).collect())) for p in (1 << 30, 64))
+    assert whole == parts  # windows go on behind the end of a part
+    hits = sum(v in set(neighbours(x, q, 10)) for q, _, v, _ in whole)
+    assert hits / len(whole) >= 0.9
+
+
+def test_nearest_neighbours_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0]), (3, [1.0, 0.0, 5.0]), (None, [1.0]), (4, [float("inf")])]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, rank string, score int")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(d, F.col("vec_id") == 2, k=3).collect()}
+    assert got == {(2, 1): (1, 3.0), (2, 2): (3, 3.0), (2, 3): (1, 0.0)}
+
+
+def chat_rows(spark, rows, schemas=()):
+    s = spark.createDataFrame(list(schemas), "name string, arg string, type string, required boolean")
+    d = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "conv_id long, turn long, role string, text string, status string, json string")
+    return chat.link(d, s).orderBy("conv_id", "at_turn", "at_nth", "depth", "behind", "turn", "nth", "json").collect()
+
+
 def test_chat_links(spark):
     rows = [
-        (1, 0, "user", 'say "x"'), (1, 1, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":{"y":2,"x":"q"}},{"id":"b","name":"g","arguments":{}}]}'),
-        (1, 3, "tool", '{"tool_call_id":"a","content":"42"}'), (1, 0, "tool", '{"tool_call_id":"b","content":"early"}'), (1, 2, "tool", '{"tool_call_id":"zz","content":"?"}'), (None, None, None, None),
+        (1, 0, "user", 'say "x"'), (1, 1, "assistant", '{"content":"hm","tool_calls":[{"id":"a","name":"f","arguments":{"y":2,"x":"7","n":{"q":2.50,"b":[1,{"z":null,"c":"é"}]}}},{"id":"b","function":{"name":"g","arguments":"{\\"k\\":1}"},"depends_on":["a"]}]}'),
+        (1, 3, "tool", '{"tool_call_id":"a","content":{"v":1,"u":"42"}}'), (1, 0, "tool", '{"tool_call_id":"b","content":"early"}'), (1, 10**13, "tool", '{"tool_call_id":"zz","content":"?"}'), (None, None, None, None), (1, -5, "user", "first"),
     ]
-    schemas = spark.createDataFrame([("f", "x", "integer", True), ("f", "z", "string", True)], "name string, arg string, type string, required boolean")
-    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).filter("conv_id = 1").orderBy("seq").collect()
-    assert [(r.kind, r.call_id, r.status) for r in got] == [("message", None, "ok"), ("call", "a", "invalid"), ("result", "a", "ok"), ("call", "b", "ok"), ("result", "b", "ok"), ("result", "zz", "orphan")]
-    assert got[1].errors == ["missing:z", "type:x", "unknown:y"] and got[1].json == '{"arguments":{"x":"q","y":"2"},"id":"a","name":"f","role":"assistant"}'
+    got = chat_rows(spark, rows, [("f", "x", "integer", True), ("f", "z", "string", True), ("f", "n", "object", False)])
+    assert [(r.kind, r.call_id, r.status) for r in got if r.conv_id == 1] == [
+        ("message", None, "ok"), ("message", None, "ok"), ("message", None, "ok"), ("call", "a", "invalid"), ("result", "a", "ok"), ("call", "b", "ok"), ("result", "b", "ok"), ("result", "zz", "orphan"),
+    ]
+    by = {(r.kind, r.call_id): r for r in got}
+    assert by["call", "a"].errors == ["missing:z", "type:x", "unknown:y"]
+    assert by["call", "a"].json == '{"arguments":{"n":{"b":[1,{"c":"é","z":null}],"q":2.5},"x":"7","y":2},"id":"a","name":"f","role":"assistant"}'
+    assert by["call", "b"].json == '{"arguments":{"k":1},"depends_on":["a"],"id":"b","name":"g","role":"assistant"}'
+    assert by["result", "a"].json == '{"content":{"u":"42","v":1},"id":"a","role":"tool"}'
+    assert [r.json for r in got if r.conv_id is None] == ['{"content":"","role":null}'] and any(r.json == '{"content":"hm","role":"assistant"}' for r in got)
+
+
+def test_chat_ties_repeats_and_circles(spark):
+    call = lambda i, x, *on: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {"x": x}, "depends_on": list(on)}]})
+    rows = [(1, 1, "assistant", call("a", 1)), (1, 1, "assistant", call("b", "no")), (1, 2, "assistant", call("a", 3)), (2, 1, "assistant", call("p", 1, "q")), (2, 2, "assistant", call("q", 1, "p")), (2, 3, "assistant", call("r", 1, "p"))]
+    rows += [(3, 0, "user", "long " * 200_000), (3, 1, "tool", '{"tool_call_id":"s","content":"x"}'), (3, 1, "tool", '{"tool_call_id":"s","content":"x"}'), (3, 1, "assistant", '{"tool_calls":[{"id":"s","id":"t"}]}'), (4, 1, "assistant", call("u", 1, "gone"))]
+    got = chat_rows(spark, rows, [("f", "x", "integer", True)])
+    assert [(r.conv_id, r.call_id, r.status, r.errors) for r in got if r.kind != "message"] == [
+        (1, "b", "invalid", ["type:x"]), (1, "a", "unanswered", []), (1, "a", "duplicate", []), (2, "p", "circular", []), (2, "q", "circular", []), (2, "r", "circular", []),
+        (3, "s", "orphan", []), (3, "s", "orphan", []), (4, "u", "invalid", ["unlinked:gone"]),
+    ]
+    assert sum(r.kind == "message" for r in got) == 2 and max(len(r.json) for r in got) > 1_000_000
+
+
+def test_chat_orders_chains(spark):
+    r = random.Random(11)
+    rows, needs = [], {}
+    for i in range(40):
+        on = [f"c{j}" for j in r.sample(range(i), min(i, r.randint(0, 2)))]
+        needs[f"c{i}"] = on
+        rows.append((1, r.randint(0, 9), "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": "f", "arguments": {}, "depends_on": on}]})))
+        rows.append((1, r.randint(0, 9), "tool", json.dumps({"tool_call_id": f"c{i}", "content": i})))
+    at = {(x.kind, x.call_id): n for n, x in enumerate(chat_rows(spark, rows))}
+    assert len(at) == 80 and all(at["call", c] < at["result", c] for c in needs)
+    assert all(at["result", o] < at["call", c] for c, on in needs.items() for o in on)
+
+
+def plain_repeats(rows, least_chars=120):
+    """Spans by chunks compared as text."""
+    held, seen = {}, {}
+    for i, t in rows:
+        data, at, out = (t or "").encode(), 0, []
+        for end in substring_dedup.cuts(data):
+            piece = data[at:end].decode()
+            out.append((len(data[:at].decode()), piece))
+            seen.setdefault(piece, set()).add(i)
+            at = end
+        held[i, t] = out
+    spans = set()
+    for (i, _), out in held.items():
+        run = []
+        for start, piece in [*out, (0, "")]:
+            owners = seen.get(piece, set())
+            removed = min(owners) != i if len(owners) > 1 else None
+            if run and (removed is None or removed != run[0][2]):
+                if run[-1][0] + len(run[-1][1]) - run[0][0] >= least_chars:
+                    spans.add((i, run[0][0], run[-1][0] + len(run[-1][1]), run[0][2]))
+                run = []
+            if removed is not None:
+                run.append((start, piece, removed))
+    return spans
+
+
+def test_substring_repeats_equal_brute_force(spark):
+    r = random.Random(12)
+    text = lambda n: " ".join("".join(r.choice("abcdefghé日") for _ in range(r.randint(2, 8))) for _ in range(n))
+    passages = [text(60) for _ in range(4)]
+    rows = [(i, " ".join(x for _ in range(3) for x in (text(r.randint(0, 40)), r.choice(passages), text(2)))) for i in range(40)] + [(50, None), (51, ""), (52, passages[0] * 300), (53, text(3)), (53, text(3))]
+    rows += rows[:3]
+    docs = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, start string")
+    got = substring_dedup.repeats(docs)
+    assert {(x.doc_id, x.start, x.end, x.removed) for x in got.collect()} == plain_repeats(rows)
+
+
+def test_cuts_belong_to_id_and_text(spark):
+    r = random.Random(13)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, other = text(80), text(150)
+    docs = spark.createDataFrame([(1, passage, 0), (2, text(20) + passage, 0), (2, other, 0), (None, passage, 0)], "doc_id long, text string, `a.b` int")
+    left = substring_dedup.remove_repeats(docs, substring_dedup.repeats(docs))
+    assert left.columns == docs.columns
+    texts = [(x.doc_id, x.text) for x in left.collect()]
+    assert (2, other) in texts and (1, passage) in texts and (None, passage) in texts and min(len(t) for i, t in texts if i == 2) < 400
+
+
+def test_exact_dedup_of_a_hot_text(spark):
+    rows = [(i, "" if i % 3 == 0 else f"t{i % 50}") for i in range(3000)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    texts = dict(rows)
+    assert all((x.keep_id, x.group_size) == (min(groups[texts[x.doc_id]]), len(groups[texts[x.doc_id]])) for x in got)
+
+
+def plain_ftrl(rows, passes, alpha=1.0, beta=1.0, l1=3.0):
+    z, n = {}, {}
+    bias = 1 << toxicity.BITS
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= (0.0 if i == bias else l1) else -(z[i] - (0.0 if i == bias else np.sign(z[i]) * l1)) / ((beta + n[i] ** 0.5) / alpha)
+    for _ in range(passes):
+        for at, y in rows:
+            at = [*at, bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_equals_plain_one(spark):
+    rows = [(i, f"word{i % 7} and {'idiot' if i % 3 == 0 else 'friend'} here {chr(97 + i % 26)}") for i in range(90)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")  # repeated rows count once
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    order = sorted(rows, key=lambda x: xxhash.xxh64_intdigest(f"{x[0]} {x[1]}"))
+    want = plain_ftrl([(np.unique(toxicity.features(t)).tolist(), int(i % 3 == 0)) for i, t in order], 5)
+    got = toxicity.fit(docs, labels, shards=1)
+    assert got["bias"] == pytest.approx(want.pop(1 << toxicity.BITS)) and dict(zip(got["at"].tolist(), got["w"], strict=True)) == pytest.approx(want)
+    # One text, so one of four learners has rows: its weights aren't thinned by the others.
+    few = toxicity.fit(docs.filter("doc_id = 0").withColumn("text", F.lit("idiot")), labels)
+    assert few["bias"] == pytest.approx(plain_ftrl([(np.unique(toxicity.features("idiot")).tolist(), 1)], 5)[1 << toxicity.BITS])
+
+
+def plain_terms(rows, remove_at=0.95, generalise_at=0.85):
+    """Texts with entities and disclosing terms replaced, by counting in Python."""
+    texts = [t or "" for _, t in rows]
+    words = [set(x.lower() for x in regex.findall(pii.WORD, t)) for t in texts]
+    spans = [[x.split(":") for x in plain_spans(t).split(",") if x] for t in texts]
+    holders = {}
+    for r, (t, found) in enumerate(zip(texts, spans, strict=True)):
+        for kind, a, b in found:
+            m = t[int(a) : int(b)]
+            entity = m.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", m)
+            holders.setdefault((kind, entity), set()).add(r)
+            if kind == "email":
+                holders.setdefault(("domain", entity.rsplit("@", 1)[1]), set()).add(r)
+    flagged = [{} for _ in rows]
+    for held in holders.values():
+        n_e = len(held)
+        if n_e >= len(rows):
+            continue
+        for term in set().union(*(words[r] for r in held)):
+            n_t, n_et = sum(term in w for w in words), sum(term in words[r] for r in held)
+            p = min(n_et / n_t, 1.0)
+            low = (p + 1 / (2 * n_t) - math.sqrt(p * (1 - p) / n_t + 1 / (4 * n_t * n_t))) / (1 + 1 / n_t)
+            share = 1 + math.log2(low) / math.log2(len(rows) / n_e) if low > 0 else -1
+            if share >= generalise_at:
+                for r in held:
+                    if term in words[r]:
+                        flagged[r][term] = max(flagged[r].get(term, ""), "remove" if share >= remove_at else "generalise")
+    out = []
+    for t, found, marks in zip(texts, spans, flagged, strict=True):
+        cuts = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in found]
+        cuts += [(m.start(), m.end(), "" if marks[m.group().lower()] == "remove" else "[TERM]") for m in regex.finditer(pii.WORD, t) if m.group().lower() in marks and not any(a < m.end() and m.start() < b for a, b, _ in cuts)]
+        at, parts = 0, []
+        for a, b, new in sorted(cuts, key=lambda c: c[:2]):
+            if a >= at:
+                parts += [t[at:a], new]
+            at = max(at, b)
+        out.append("".join(parts) + t[at:])
+    return out
+
+
+def test_pii_terms_equal_brute_force(spark):
+    r = random.Random(14)
+    names, common = [f"name{chr(97 + i)}" for i in range(12)], "the plan was sent from our office by mail today".split()
+    rows = []
+    for i in range(150):
+        who = r.choice(names) if i % 4 == 0 else ""
+        rows.append((i, " ".join([who, *r.sample(common, 5), f"{who}@x{len(who) and ord(who[-1]) % 3}.org" if who else "", "10.0.0.7" if i % 11 == 0 else "", r.choice(["", "note", "Étude"])])))
+    rows += [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
+    assert [got[i] or "" for i, _ in rows] == plain_terms(rows) and sum("[TERM]" in (t or "") for t in got.values()) > 3
+
+
+def fewest_bins(items, cap):
+    if not items:
+        return 0
+    first, rest = items[0], items[1:]
+    best = [len(items)]
+
+    def fill(k, room, left):
+        if k == len(rest):
+            best[0] = min(best[0], 1 + fewest_bins(tuple(left), cap))
+            return
+        if rest[k] <= room:
+            fill(k + 1, room - rest[k], left)
+        fill(k + 1, room, [*left, rest[k]])
+
+    fill(0, cap - first, [])
+    return best[0]
+
+
+def test_reduction_costs_no_bin():
+    r = random.Random(15)
+    threes = above = 0
+    for _ in range(300):
+        cap = r.choice([10, 13, 20])
+        items = sorted((r.randint(1, cap) for _ in range(r.randint(1, 7))), reverse=True)
+        counts = {s: items.count(s) for s in items}
+        fixed, left = packing.reduce_by_dominance(counts, cap)
+        rest = tuple(sorted((s for s, n in left.items() for _ in range(n)), reverse=True))
+        want = fewest_bins(tuple(items), cap)
+        assert sum(t for t, _ in fixed) + fewest_bins(rest, cap) == want
+        threes += sum(len(s) == 3 for _, s in fixed)
+        above += sum(t for t, _ in packing.bin_shapes(counts, cap)) > want
+    assert threes > 20 and above <= 6
+
+
+def test_transducer_on_random_merge_lists_and_blocks():
+    r, c = random.Random(16), bpe.codec(TOK)
+
+    def whole(data, rank):
+        ids = [bytes([x]) for x in data]
+        while found := min(((rank[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rank), default=None):
+            ids[found[1] : found[1] + 2] = [ids[found[1]] + ids[found[1] + 1]]
+        return ids
+
+    for _ in range(1500):
+        tokens, merges = [b"a", b"b", b"c"], []
+        for _ in range(r.randint(1, 12)):
+            pair = (r.choice(tokens), r.choice(tokens))
+            if pair not in merges:
+                merges.append(pair)
+                tokens += [pair[0] + pair[1]] * (pair[0] + pair[1] not in tokens)
+        rank, need = {p: i for i, p in enumerate(merges)}, bpe.lookaheads(merges)
+        data, block, held, got = bytes(r.choice(b"abc") for _ in range(r.randint(1, 40))), r.randint(1, 6), b"", []
+        for k in range(0, len(data), block):
+            held, at = held + data[k : k + block], 0
+            for t in whole(held, rank):
+                if at + len(t) + need[t] > len(held):
+                    break
+                at += len(t)
+                got.append(t)
+            held = held[at:]
+        assert got + whole(held, rank) == whole(data, rank)
+    for _ in range(300):
+        data, block = "".join(r.choice(["tion", "the", "ing", "aaaa", "é"]) for _ in range(r.randint(1, 60))).encode(), r.randint(1, 64)
+        assert list(c.stream_word(data[k : k + block] for k in range(0, len(data), block))) == c._whole(data)
+
+
+def test_long_texts_stream(monkeypatch):
+    c, tok, r = bpe.codec(TOK), Tokenizer.from_file(TOK), random.Random(17)
+    monkeypatch.setattr(bpe, "BLOCK", 64)
+    some = ["a", "the", " ", "  ", "\n", "'s", "é", "🙂", "<|endoftext|>", "12", ",", "word.\nNext", "x" * 400, " " * 60]
+    for _ in range(300):
+        s = "".join(r.choice(some) for _ in range(r.randint(0, 60)))
+        want = tok.encode(s, add_special_tokens=False).ids
+        got = list(c.stream(s))
+        assert np.frombuffer(b"".join(p for _, p in got), "<u4").tolist() == want == [int(x) for n, _ in got for x in n.split(",")]
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    r = random.Random(18)
+    vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randint(20, 60))) for _ in range(30)]
+    for i in range(12):
+        w = texts[i].split()
+        w[r.randrange(len(w))] = "changed"
+        texts.append([texts[i], texts[i].replace(" ", "  "), " ".join(w)][i % 3])
+    texts += [f"{t} mail kim{i}@acme.org" for i, t in enumerate(texts[20:26])] + ["12 34", None, ""]
+    rows = [(i, t, "aa", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    held = dict(enumerate(texts))
+    told = lambda df: {x.doc_id: x.text for x in df.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["language_id"](spark, docs, SF)
+    assert told(one) == {i: t for i, t in held.items() if t and re.search("[a-z]", t)}
+    two = stages["exact_dedup"](spark, one, SF)
+    best = {}
+    for i, t in told(one).items():
+        key = re.sub(r"\s", "", t)
+        best[key] = max(best.get(key, (-1, 0)), (len(t), -i))
+    assert set(told(two)) == {-i for _, i in best.values()}
+    three = stages["minhash_near_dedup"](spark, two, SF)
+    sets = {i: set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for i, t in told(two).items()}
+    root = {i: i for i in sets}
+    for _ in root:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert set(told(three)) == {i for i in root if root[i] == i} and len(told(three)) < len(told(two))
+    four = stages["pii"](spark, three, SF)
+    before = sorted(told(three).items())
+    assert [t for _, t in sorted(told(four).items())] == plain_terms(before)
+    assert all(x.n_chars == len(x.text) for x in four.collect())
+    five = stages["best_fit_packing"](spark, four, SF).collect()
+    tok = Tokenizer.from_file(TOK)
+    ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in told(four).items()}
+    assert sorted(x.doc_id for x in five) == sorted(ids) and all(zlib.crc32(np.array(ids[x.doc_id], "<u4").tobytes()) == x.ids_crc32 for x in five)
+    assert len({x.sequence_id for x in five}) >= -(-sum(map(len, ids.values())) // 1024)
 
 
 def test_pipeline_stages_take_edges(spark, edge, none):
