@@ -28,7 +28,7 @@ WIDTH, BANDS, ROWS = 5, 25, 5
 REGISTERS = BANDS * ROWS
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary()), ("flat", pa.binary())])
 SHAPED = pa.schema([("doc_id", pa.int64()), ("sh", pa.binary())])
-_WORD = Memory(lambda w: xxhash.xxh64_intdigest(w))
+_WORD = Memory(lambda w: xxhash.xxh64_intdigest(w), 40_000)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, shape: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def across(rest: DataFrame, shape: DataFrame, threshold: float, block: int = 1024, most: int = 1_000_000) -> DataFrame:
+def across(rest: DataFrame, shape: DataFrame, threshold: float, block: int = 1024, most: int = 500_000) -> DataFrame:
     """Links (a, b) between the classes of a bucket; ``rest`` has key, doc_id, root, and the bucket's documents n and shingles s.
 
     A bucket is dealt into blocks, and each pair of blocks is one group of at
@@ -194,9 +194,9 @@ def across(rest: DataFrame, shape: DataFrame, threshold: float, block: int = 102
         size = np.array([len(h) for h in sets], np.float64)
         one, two = np.flatnonzero(pdf["own"].to_numpy() == pdf["i"].iloc[0]), np.flatnonzero(pdf["own"].to_numpy() == pdf["j"].iloc[0])
         common = np.zeros((len(one), len(two)), np.float32)
-        for at in range(0, width, 4096):  # some columns at a time
-            part = (c >= at) & (c < at + 4096)
-            has = np.zeros((len(sets), min(4096, width - at)), np.float32)
+        for at in range(0, width, 1024):  # some columns at a time
+            part = (c >= at) & (c < at + 1024)
+            has = np.zeros((len(sets), min(1024, width - at)), np.float32)
             has[r[part], c[part] - at] = 1
             common += has[one] @ has[two].T
         # Whole hashes and exact counts: a pair that isn't a link must not stand for its two classes.
