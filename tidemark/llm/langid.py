@@ -35,9 +35,9 @@ COUNTS = pa.schema([("lang", pa.string()), ("at", pa.int32()), ("n", pa.int64())
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     if not _TABLES:
-        chars = [chr(i) for i in range(0x110000)]
-        _TABLES["lower"] = np.array([ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(chars)], np.uint32)
-        _TABLES["letter"] = np.array([c.isalpha() for c in chars])
+        every = range(0x110000)  # one character at a time: lists of all of them would stay in a worker's memory
+        _TABLES["lower"] = np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in every), np.uint32, len(every))
+        _TABLES["letter"] = np.fromiter((chr(i).isalpha() for i in every), bool, len(every))
     return _TABLES["lower"], _TABLES["letter"]
 
 
