@@ -182,6 +182,13 @@ def test_histograms_that_are_none(spark):
     assert [tuple(b) for b in got[2]["buckets"]] == [(1.0, 4.0, 1.0, False, True)] and [tuple(b) for b in got[0]["buckets"]] == [(-1.0, 1.0, 1.0, True, True)]
 
 
+def test_histograms_are_read_once(spark):
+    d = spark.createDataFrame([('{"count":"1","sum":"1","schema":-53,"custom_values":[1.5],"positive_spans":[{"offset":0,"length":2}],"positive_counts":["4","8"]}',)], "v_raw string")
+    got = histogram.divide(histogram.rows_of(histogram.parse(d)), 4)
+    assert [(x["lower"], x["upper"], x["count"]) for x in got.collect()] == [(-math.inf, 1.5, 1.0), (1.5, math.inf, 2.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_numbers_of_histograms(spark):
     d = spark.createDataFrame([(x,) for x in (1.0, 0.1, 1e21, 1e-7, math.inf, -2.5, 0.0)], "x double")
     assert [r[0] for r in d.select(histogram.number_text(F.col("x"))).collect()] == ["1", "0.1", "1e+21", "1e-07", "+Inf", "-2.5", "0"]

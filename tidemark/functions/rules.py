@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import once
+
 
 def _said(condition: Column, negate: bool = False) -> Column:
     return F.coalesce((~condition if negate else condition).cast("string"), F.lit(""))
@@ -156,8 +158,8 @@ def _rewrite_param(query: Column, how: str, name: str, *args: str) -> Column:
 
 
 def rewrite_all(url: Column, steps: list[tuple]) -> Column:
-    """A chain of rewrites, each on the outcome of the one before."""
-    return reduce(lambda u, step: rewrite(u, *step), steps, url)
+    """A chain of rewrites, each on the outcome of the one before, which is worked out once."""
+    return reduce(lambda u, step: once(u, lambda x: rewrite(x, *step)), steps, url)
 
 
 def rewrite_header(headers: Column, how: str, name: str, *args: str) -> Column:

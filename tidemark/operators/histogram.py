@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import once
+
 KEY = ["series", "epoch_ns"]
 #: Fields of a native histogram on the wire, the schema of custom bounds, and the range of the exponential ones.
 WIRE = """struct<count:string,sum:string,schema:int,zero_threshold:double,zero_count:string,
@@ -24,18 +26,18 @@ def _none() -> Column:
     return F.array().cast(f"array<{BUCKET}>")
 
 
-def _bound(index: Column, h: str) -> Column:
+def _bound(index: Column, h: Column) -> Column:
     """Upper bound of the bucket with this index by the histogram's schema."""
-    schema, custom = F.col(f"{h}.schema"), F.col(f"{h}.custom_values")
+    schema, custom = h["schema"], h["custom_values"]
     listed = F.when(index == -1, F.lit(-_INF)).when(index == F.size(custom), F.lit(_INF)).otherwise(F.get(custom, index))
     power = F.pow(F.lit(2.0), index.cast("double") * F.pow(F.lit(2.0), -schema.cast("double")))
     # The bucket that would end at 2^1024 ends at the largest double.
     return F.when(schema == CUSTOM, listed).otherwise(F.when(power == _INF, F.lit(1.7976931348623157e308)).otherwise(power))
 
 
-def _span_buckets(h: str, sign: str) -> Column:
+def _span_buckets(h: Column, sign: str) -> Column:
     """Buckets of one sign: spans give the indices, counts or running sums of deltas the counts; null where they don't fit together."""
-    spans, deltas, counts = (F.coalesce(F.col(f"{h}.{sign}_{x}"), F.array().cast(t)) for x, t in (("spans", "array<struct<offset:int,length:int>>"), ("deltas", "array<bigint>"), ("counts", "array<string>")))
+    spans, deltas, counts = (F.coalesce(h[f"{sign}_{x}"], F.array().cast(t)) for x, t in (("spans", "array<struct<offset:int,length:int>>"), ("deltas", "array<bigint>"), ("counts", "array<string>")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     ints = lambda a, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (a + i).cast("int"))).otherwise(F.array().cast("array<int>"))
     step = lambda acc, s: F.struct((acc["at"] + s["offset"] + s["length"]).cast("int").alias("at"), F.concat(acc["out"], ints(acc["at"] + s["offset"], s["length"])).alias("out"))
@@ -49,31 +51,27 @@ def _span_buckets(h: str, sign: str) -> Column:
         i = pair["i"]
         low, high = _bound(i - 1, h), _bound(i, h)
         if positive:
-            return _bucket(low, high, pair["c"], (F.col(f"{h}.schema") == CUSTOM) & (i == 0), F.lit(True))
+            return _bucket(low, high, pair["c"], (h["schema"] == CUSTOM) & (i == 0), F.lit(True))
         return _bucket(-high, -low, pair["c"], F.lit(True), F.lit(False))
 
-    pairs = F.filter(F.zip_with(index, given, lambda i, c: F.struct(i.alias("i"), c.alias("c"))), lambda p: p["c"] != 0)
-    return F.when(F.size(index) == F.size(given), F.transform(pairs, made))
+    def fitted(index: Column, given: Column) -> Column:
+        pairs = F.filter(F.zip_with(index, given, lambda i, c: F.struct(i.alias("i"), c.alias("c"))), lambda p: p["c"] != 0)
+        return F.when(F.size(index) == F.size(given), F.transform(pairs, made))
 
+    return once(index, lambda i: once(given, lambda g: fitted(i, g)))
 
-def parse(rows: DataFrame, column: str = "v_raw") -> DataFrame:
-    """``rows`` with total_count, total_sum and buckets (sorted) of histograms written as JSON.
 
-    Explicit buckets count before spans; the zero bucket is as wide as its
-    threshold, and no other reaches into it. Rows that make no histogram
-    (numbers that aren't, spans and counts that don't fit together, a schema
-    out of range, bounds the wrong way round) are left out.
-    """
-    h = rows.withColumn("_h", F.from_json(column, WIRE))
-    num = lambda c: F.col(f"_h.{c}").try_cast("double")
+def _histogram(h: Column) -> Column:
+    """total_count, total_sum and buckets of a histogram as it is on the wire."""
+    num = lambda c: h[c].try_cast("double")
     mode = lambda b: F.get(b, F.lit(0)).try_cast("int")
     at = lambda b, i: F.get(b, F.lit(i)).try_cast("double")
-    listed = F.transform("_h.buckets", lambda b: _bucket(at(b, 1), at(b, 2), at(b, 3), mode(b).isin(1, 3), mode(b).isin(0, 3)))
-    listed_good = F.forall("_h.buckets", lambda b: (F.size(b) == 4) & mode(b).between(0, 3) & ~F.isnan(at(b, 1)) & (at(b, 1) <= at(b, 2)) & at(b, 3).isNotNull())
-    zero = F.coalesce(F.when(F.col("_h.zero_count") != "", num("zero_count")), F.lit(0.0))
-    width = F.coalesce(F.col("_h.zero_threshold"), F.lit(0.0))
+    listed = F.transform(h["buckets"], lambda b: _bucket(at(b, 1), at(b, 2), at(b, 3), mode(b).isin(1, 3), mode(b).isin(0, 3)))
+    listed_good = F.forall(h["buckets"], lambda b: (F.size(b) == 4) & mode(b).between(0, 3) & ~F.isnan(at(b, 1)) & (at(b, 1) <= at(b, 2)) & at(b, 3).isNotNull())
+    zero = F.coalesce(F.when(h["zero_count"] != "", num("zero_count")), F.lit(0.0))
+    width = F.coalesce(h["zero_threshold"], F.lit(0.0))
     middle = F.when(zero != 0, F.array(_bucket(-width, width, zero, F.lit(True), F.lit(True)))).otherwise(_none())
-    spans = F.concat(middle, _span_buckets("_h", "negative"), _span_buckets("_h", "positive"))
+    spans = F.concat(middle, _span_buckets(h, "negative"), _span_buckets(h, "positive"))
     kept_out = F.transform(
         spans,
         lambda b: _bucket(
@@ -81,11 +79,26 @@ def parse(rows: DataFrame, column: str = "v_raw") -> DataFrame:
             F.when((b["upper"] < 0) & (b["upper"] > -width), -width).otherwise(b["upper"]), b["count"], b["lower_in"], b["upper_in"],
         ),
     )
-    explicit = F.size(F.coalesce("_h.buckets", F.array())) > 0
-    schema_fits = (F.col("_h.schema") == CUSTOM) | F.coalesce(F.col("_h.schema"), F.lit(0)).between(COARSEST, FINEST)
+    explicit = F.size(F.coalesce(h["buckets"], F.array())) > 0
+    schema_fits = (h["schema"] == CUSTOM) | F.coalesce(h["schema"], F.lit(0)).between(COARSEST, FINEST)
     buckets = F.when(explicit, F.when(listed_good, listed)).otherwise(F.when(schema_fits, kept_out))
-    out = h.withColumn("total_count", num("count")).withColumn("total_sum", num("sum")).withColumn("buckets", F.array_sort(buckets)).drop("_h")
-    return out.filter("total_count IS NOT NULL AND total_sum IS NOT NULL AND buckets IS NOT NULL AND NOT exists(buckets, b -> b.lower IS NULL OR b.upper IS NULL)")
+    return F.struct(num("count").alias("total_count"), num("sum").alias("total_sum"), F.sort_array(buckets).alias("buckets"))
+
+
+def parse(rows: DataFrame, column: str = "v_raw") -> DataFrame:
+    """``rows`` with total_count, total_sum and buckets (sorted) of histograms written as JSON.
+
+    Explicit buckets count before spans; the zero bucket is as wide as its
+    threshold, and no other reaches into it. Rows that make no histogram
+    (numbers that aren't, spans and counts that don't fit together, a schema
+    out of range, bounds the wrong way round) are left out. A text is read
+    once: what tests and what shows its buckets comes out of one generator,
+    which no filter is pushed through.
+    """
+    whole = lambda x: x["total_count"].isNotNull() & x["total_sum"].isNotNull() & x["buckets"].isNotNull() & ~F.exists(x["buckets"], lambda b: b["lower"].isNull() | b["upper"].isNull())
+    read = F.filter(F.transform(F.array(F.from_json(column, WIRE)), _histogram), whole)
+    kept = [c for c in rows.columns if c not in ("total_count", "total_sum", "buckets")]
+    return rows.select(*kept, F.explode(read).alias("_h")).select(*kept, "_h.*")
 
 
 def rows_of(histograms: DataFrame) -> DataFrame:
