@@ -226,6 +226,13 @@ def test_rewrites(spark):
     assert tuple(got[0]) == ("http://a.b:80/x/y?z=2&k=3", "http://a.b:80/x/y?k=1&z=2&k=4", "http://c.b:80/x/y?k=1&z=2&k=3", "${0}!") and tuple(got[1]) == ("nothing",) * 3 + ("n!",)
 
 
+def test_chains_of_rewrites_stay_small(spark):
+    d = spark.createDataFrame([("http://a.b:80/x/y?k=1",)], "u string")
+    steps = [("port", "delete"), ("path", "replace", "/x/", "/z/"), ("params", "delete")]
+    size = lambda n: d.select(R.rewrite_all(F.col("u"), steps * n))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract")
+    assert d.select(R.rewrite_all(F.col("u"), steps * 2)).first()[0] == "http://a.b/z/y" and size(2) == 2 * size(1)
+
+
 def test_range_guard_and_union():
     D.check_range(0, 10, 10)
     D.check_range(0, 10, 0)
