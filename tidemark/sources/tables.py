@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import once
 from tidemark.functions.points import parse_epoch, parse_value, rfc3339, sorted_tags, tags_json
 from tidemark.operators.order import numbered
 
@@ -31,7 +32,9 @@ def _cells(line: Column, separator: str) -> Column:
     """Cells of a line; of commas those inside quotes don't split, and doubled quotes are one."""
     if separator != ",":
         return F.split(line, separator)
-    return F.transform(F.split(line, ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda c: F.when(c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    quoted = F.transform(F.split(line, ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda c: F.when(c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    # Looking ahead from every comma is for lines with quotes alone.
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ","))
 
 
 def kind_of(type_name: Column) -> Column:
@@ -131,21 +134,39 @@ def read_annotated(docs: DataFrame) -> DataFrame:
     are tags, _time is the timestamp, and _start, _stop and table are not kept.
     Empty cells have the column's default.
     """
-    blocks = docs.select(F.explode(F.split(F.replace("doc", F.lit("\r"), F.lit("")), r"\n\n+")).alias("b")).select(F.filter(F.split("b", "\n"), lambda x: F.trim(x) != "").alias("l"))
-    head = lambda name: _cells(F.get(F.filter("l", lambda x: x.startswith(name)), F.lit(0)), ",")
-    data = F.filter("l", lambda x: ~x.startswith("#"))
-    rows = blocks.select(head("#datatype").alias("types"), head("#group").alias("groups"), head("#default").alias("defaults"), _cells(F.get(data, F.lit(0)), ",").alias("names"), F.explode(F.slice(data, 2, 1 << 30)).alias("line"))
-    cells = rows.withColumn("cells", _cells(F.col("line"), ",")).filter("size(types) = size(names) AND size(groups) = size(names) AND size(cells) = size(names)")
-    full = F.zip_with("cells", F.coalesce("defaults", "cells"), lambda c, d: F.when(c == "", d).otherwise(c))
-    every = cells.select(F.filter(F.arrays_zip(F.col("names"), F.col("types"), F.col("groups"), full.alias("cell")), lambda x: x["names"] != "").alias("x"))
-    named = F.map_from_entries(F.transform("x", lambda x: F.struct(x["names"], x["cell"])))
-    is_tag = lambda x: (x["groups"] == "true") & ~x["names"].isin(*_UNTRACKED, *_TIMES)
-    tags = F.map_from_entries(F.transform(F.filter("x", lambda x: is_tag(x) & (x["cell"] != "")), lambda x: F.struct(x["names"], x["cell"])))
-    fields = F.filter("x", lambda x: ~is_tag(x) & ~x["names"].isin("result", *_UNTRACKED, *_TIMES))
-    time = F.coalesce(*[F.try_element_at(named, F.lit(t)) for t in _TIMES])
-    at = F.coalesce(F.unix_micros(F.try_to_timestamp(time)) * 1000, parse_epoch(time))
-    out = every.select(F.try_element_at(named, F.lit("result")).alias("result"), tags.alias("tags"), at.alias("epoch_ns"), F.explode(fields).alias("f")).filter("epoch_ns IS NOT NULL")
-    return out.select("result", "tags", tags_json(F.col("tags")).alias("series"), "epoch_ns", F.col("f.names").alias("field"), F.col("f.types").alias("type"), F.col("f.cell").alias("value"), parse_value(F.col("f.cell")).alias("v"))
+    tables = F.transform(F.split(F.replace("doc", F.lit("\r"), F.lit("")), r"\n\n+"), lambda b: once(F.filter(F.split(b, "\n"), lambda x: F.trim(x) != ""), _table))
+    blocks = docs.select(F.explode(tables).alias("t")).select("t.*").filter("size(types) = size(names) AND size(groups) = size(names)")
+    lines = blocks.select("types", "groups", "defaults", "names", F.explode("lines").alias("line"))
+    # A line's points come out of one generator, so no filter or column works out its cells again.
+    return lines.select(F.explode(once(_cells(F.col("line"), ","), _line_points)).alias("p")).select("p.*")
+
+
+def _table(lines: Column) -> Column:
+    """Annotations, names and data lines of an annotated table."""
+    head = lambda name: _cells(F.get(F.filter(lines, lambda x: x.startswith(name)), F.lit(0)), ",")
+    of = lambda data: F.struct(
+        head("#datatype").alias("types"), head("#group").alias("groups"), head("#default").alias("defaults"), _cells(F.get(data, F.lit(0)), ",").alias("names"), F.slice(data, 2, 1 << 30).alias("lines")
+    )
+    return once(F.filter(lines, lambda x: ~x.startswith("#")), of)
+
+
+def _line_points(cells: Column) -> Column:
+    """A point for each value of a line, whose table's types, groups, defaults and names are columns; null where widths differ or there is no time."""
+    own = lambda i: F.when(F.get(cells, i) == "", F.get(F.coalesce("defaults", cells), i)).otherwise(F.get(cells, i))
+    every = F.transform("names", lambda n, i: F.struct(n.alias("name"), F.get("types", i).alias("type"), F.get("groups", i).alias("group"), own(i).alias("cell")))
+    is_tag = lambda x: (x["group"] == "true") & ~x["name"].isin(*_UNTRACKED, *_TIMES)
+    entries = lambda a: F.map_from_entries(F.transform(a, lambda x: F.struct(x["name"], x["cell"])))
+
+    def points(x: Column, named: Column) -> Column:
+        time = F.coalesce(*[F.try_element_at(named, F.lit(t)) for t in _TIMES])
+        at = once(time, lambda t: F.coalesce(F.unix_micros(F.try_to_timestamp(t)) * 1000, parse_epoch(t)))
+        tags = entries(F.filter(x, lambda e: is_tag(e) & (e["cell"] != "")))
+        line = once(tags, lambda t: F.struct(F.try_element_at(named, F.lit("result")).alias("result"), t.alias("tags"), tags_json(t).alias("series"), at.alias("epoch_ns")))
+        fields = F.filter(x, lambda e: ~is_tag(e) & ~e["name"].isin("result", *_UNTRACKED, *_TIMES))
+        value = lambda f: [f["name"].alias("field"), f["type"].alias("type"), f["cell"].alias("value"), parse_value(f["cell"]).alias("v")]
+        return once(line, lambda r: F.when(r["epoch_ns"].isNotNull(), F.transform(fields, lambda f: F.struct(*[r[c].alias(c) for c in ("result", "tags", "series", "epoch_ns")], *value(f)))))
+
+    return F.when(F.size(cells) == F.size("names"), once(F.filter(every, lambda x: x["name"] != ""), lambda x: once(entries(x), lambda named: points(x, named))))
 
 
 def _tables(points: DataFrame) -> DataFrame:
