@@ -51,6 +51,21 @@ def test_dedup_gathers_no_series(spark):
     assert "collect_list" not in got._jdf.queryExecution().toString()
 
 
+def test_dedup_doubles_over_slabs_alone(spark, monkeypatch):
+    calls, settle = [], merge.settle
+    monkeypatch.setattr(merge, "settle", lambda df: calls.append(1) or settle(df))
+    r = random.Random(4)
+    rows = [(s, e, float(e), 0) for s in "abc" for e in sorted(r.sample(range(-900, 900), 300))]
+    want, last = [], {}
+    for s, e, v, _ in rows:
+        if s not in last or e - last[s] > 7:
+            want.append((s, e, v))
+            last[s] = e
+    assert sorted(map(tuple, merge.dedup_within(points(spark, rows), 7, 2000).collect())) == want
+    # Two slabs: the path of some 180 points takes no round for each doubling of its length.
+    assert len(calls) <= 8
+
+
 def test_pooled_variance(spark):
     d = spark.createDataFrame([("a", 1, 2.0, 1.5, 0.25), ("a", 1, 1.0, 4.0, 0.0), ("b", 1, 1.0, NAN, 0.0)], "series string, epoch_ns long, n double, mean double, var double")
     got = {r["series"]: r["v"] for r in merge.pooled_variance(d).collect()}
@@ -226,6 +241,13 @@ def test_rewrites(spark):
     assert tuple(got[0]) == ("http://a.b:80/x/y?z=2&k=3", "http://a.b:80/x/y?k=1&z=2&k=4", "http://c.b:80/x/y?k=1&z=2&k=3", "${0}!") and tuple(got[1]) == ("nothing",) * 3 + ("n!",)
 
 
+def test_annotated_lines_are_read_once(spark):
+    doc = '#datatype,string,long,dateTime:RFC3339,double,string\n#group,false,false,false,false,true\n#default,_r,,,,\n,result,table,_time,_value,host\n,,0,2024-01-01T00:00:00Z,1.5,x\n,,0,none,2.5,x\n'
+    got = tables.read_annotated(spark.createDataFrame([(doc,)], "doc string"))
+    assert [(x["result"], x["series"], x["v"]) for x in got.collect()] == [("_r", '{"host":"x"}', 1.5)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(line") <= 2
+
+
 def test_chains_of_rewrites_stay_small(spark):
     d = spark.createDataFrame([("http://a.b:80/x/y?k=1",)], "u string")
     steps = [("port", "delete"), ("path", "replace", "/x/", "/z/"), ("params", "delete")]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections import deque
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.points import NAN
+from tidemark.functions.points import NAN, whole
 
 KEY = ("series", "epoch_ns")
 
@@ -69,18 +71,22 @@ def tolerance_ns(milliseconds: int) -> int:
 def dedup_within(points: DataFrame, tolerance_ns: int, slab_ns: int, value: str = "v") -> DataFrame:
     """Drop a point at most ``tolerance_ns`` after the last one kept; the first seen of equal epochs stays.
 
-    The comparison is with the last survivor, so what is kept is a path: the
-    series' first point, then from each point its successor, the first one
-    beyond the tolerance. Successors are found by windows of (series, slab of
-    ``slab_ns``), and the path is marked by pointer doubling, so no step
-    gathers a series. Tables of a round are checkpointed.
+    The comparison is with the last survivor, so what is kept is a path from the
+    series' first point. A path can enter a slab of ``slab_ns`` only up to the
+    first point beyond the tolerance after the slab's start: one sorted scan
+    tells where each such entry leaves the slab, pointer doubling over entries
+    alone marks those the path takes, and a second scan walks each slab from its
+    entry. Scans hold the entries of one slab, and no step gathers a series.
     """
-    slab = lambda at: F.floor(at / slab_ns)
-    first = settle(points.groupBy("series", "epoch_ns").agg(F.min_by(value, "src_order").alias(value)))
-    # Where a slab has nothing at or after the sought epoch, the next slab with points has the successor.
-    slabs = first.groupBy("series", slab(F.col("epoch_ns")).alias("slab")).agg(F.min("epoch_ns").alias("slab_start"))
-    probes = first.select("series", (F.col("epoch_ns") + (tolerance_ns + 1)).alias("at"), F.col("epoch_ns").alias("node"), F.lit(None).cast("long").alias("point"))
-    own = first.select("series", F.col("epoch_ns").alias("at"), F.lit(None).cast("long").alias("node"), F.col("epoch_ns").alias("point"))
+    slab = lambda at: whole(at, slab_ns)
+    first = points.filter("epoch_ns IS NOT NULL").groupBy("series", "epoch_ns").agg(F.min_by(value, "src_order").alias(value))
+    first = settle(first.withColumn("slab", slab(F.col("epoch_ns"))).repartition("series", "slab").sortWithinPartitions("series", "slab", "epoch_ns"))
+    series = first.schema["series"].dataType.simpleString()
+    exits = settle(first.select("series", "slab", "epoch_ns").mapInArrow(_exits(tolerance_ns), f"series {series}, epoch_ns long, at long"))
+    # Where a slab has no entry at or after the sought epoch, the next slab with points has it.
+    slabs = exits.groupBy("series", slab(F.col("epoch_ns")).alias("slab")).agg(F.min("epoch_ns").alias("slab_start"))
+    probes = exits.filter("at IS NOT NULL").select("series", "at", F.col("epoch_ns").alias("node"), F.lit(None).cast("long").alias("point"))
+    own = exits.select("series", F.col("epoch_ns").alias("at"), F.lit(None).cast("long").alias("node"), F.col("epoch_ns").alias("point"))
     onward = Window.partitionBy("series", "slab").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
     sought = probes.unionByName(own).withColumn("slab", slab(F.col("at"))).withColumn("next", F.min("point").over(onward)).filter("node IS NOT NULL")
     # The first point of a later slab, for each slab that is probed: as many rows as slabs.
@@ -88,13 +94,69 @@ def dedup_within(points: DataFrame, tolerance_ns: int, slab_ns: int, value: str
     later = probed.unionByName(slabs).groupBy("series", "slab").agg(F.min("slab_start").alias("slab_start"))
     later = later.select("series", "slab", F.min("slab_start").over(Window.partitionBy("series").orderBy("slab").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
     jump = settle(sought.join(later, ["series", "slab"], "left").select("series", F.col("node").alias("epoch_ns"), F.coalesce("next", "later").alias("next")).filter("next IS NOT NULL"))
-    kept = settle(first.groupBy("series").agg(F.min("epoch_ns").alias("epoch_ns")))
-    # ``kept`` has a path's first 2^k points, ``jump`` goes 2^k points on; what is reached anew isn't in ``kept`` yet.
+    kept = settle(exits.groupBy("series").agg(F.min("epoch_ns").alias("epoch_ns")))
+    # ``kept`` has a path's first 2^k entries, ``jump`` goes 2^k entries on; what is reached anew isn't in ``kept`` yet.
     while not jump.isEmpty():
         kept = settle(kept.unionByName(kept.join(jump, ["series", "epoch_ns"]).select("series", F.col("next").alias("epoch_ns"))).coalesce(kept.sparkSession.sparkContext.defaultParallelism))
         onto = jump.select("series", F.col("epoch_ns").alias("next"), F.col("next").alias("far"))
         jump = settle(jump.join(onto, ["series", "next"]).select("series", "epoch_ns", F.col("far").alias("next")))
-    return first.join(kept, ["series", "epoch_ns"]).select("series", "epoch_ns", value)
+    entries = kept.select("series", slab(F.col("epoch_ns")).alias("slab"), F.col("epoch_ns").alias("entry"))
+    entered = first.join(entries, ["series", "slab"]).filter("epoch_ns >= entry").select("series", "epoch_ns", value, "slab")
+    entered = entered.repartition("series", "slab").sortWithinPartitions("series", "slab", "epoch_ns")
+    return entered.mapInArrow(_walk(tolerance_ns), entered.schema).drop("slab")
+
+
+def _exits(tolerance: int):
+    """Scan of sorted (series, slab, epoch_ns): each entry of a slab with the epoch sought after its path's last point there; null beyond what a long holds."""
+
+    def scan(batches):
+        # Paths by their last points, which ascend: those that a point is beyond the tolerance of go on from it as one.
+        key, start, beyond, paths = None, 0, False, deque()
+
+        def told(series, kind):
+            rows = [(e, last + tolerance + 1) for last, entries in paths for e in entries]
+            at = [x if x < 1 << 63 else None for _, x in rows]
+            return pa.RecordBatch.from_arrays([pa.array([series] * len(rows), kind), pa.array([e for e, _ in rows], pa.int64()), pa.array(at, pa.int64())], ["series", "epoch_ns", "at"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("series").type
+            for series, slab, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (series, slab) != key:
+                    if paths:
+                        yield told(key[0], kind)
+                    key, start, beyond, paths = (series, slab), at, False, deque()
+                moved = None
+                while paths and at - paths[0][0] > tolerance:
+                    entries = paths.popleft()[1]
+                    small, moved = (entries, moved) if moved and len(moved) > len(entries) else (moved or [], entries)
+                    moved.extend(small)
+                if not beyond:
+                    moved = [*(moved or []), at]
+                    beyond = at - start > tolerance
+                if moved:
+                    paths.append((at, moved))
+        if paths:
+            yield told(key[0], kind)
+
+    return scan
+
+
+def _walk(tolerance: int):
+    """Scan of sorted rows: those that are kept, from the first row of each series and slab."""
+
+    def scan(batches):
+        key, last = None, 0
+        for batch in batches:
+            kept = []
+            for series, slab, at in zip(*(batch.column(c).to_pylist() for c in ("series", "slab", "epoch_ns")), strict=True):
+                keep = (series, slab) != key or at - last > tolerance
+                if keep:
+                    key, last = (series, slab), at
+                kept.append(keep)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return scan
 
 
 def coalesce_replicas(points: DataFrame, order: str = "replica_order", keys: tuple[str, ...] = KEY) -> DataFrame:
