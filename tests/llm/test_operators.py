@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -100,6 +101,36 @@ def test_packing(edge):
     assert sum(r.length for r in rows) == sum(len(ids[i]) for i, _ in EDGE)
 
 
+def test_packing_encodes_batches_as_the_library_does():
+    tok, r = Tokenizer.from_file(TOK), random.Random(9)
+    some = ["a", "the", " ", " ", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "''", "s", "'ll", "é", "Éß", "×", "ª", "²", "日本", "<|endoftext|>", "<|", "12", "!!", "%%%", ",", ".", "-", "\x1c", "\x85", "\xa0", "\u2003", "word.\nNext", "x,", "ing_", "\r\n"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 25))) for _ in range(4000)]
+    encode = packing.Encoder(TOK)
+    for first, count in packing.slices(pa.array(texts), 3000):
+        ids, bounds = encode.ids_of_all(pa.array(texts).slice(first, count), b"\2\0\0\0")
+        got = np.frombuffer(ids, "<u4")
+        assert len(bounds) == count + 1
+        for k in range(count):
+            assert got[bounds[k] : bounds[k + 1]].tolist() == [*tok.encode(texts[first + k], add_special_tokens=False).ids, 2], texts[first + k]
+
+
+def test_packing_sorts_plain_words_without_the_whole_library():
+    encode = packing.Encoder(TOK)
+    whole, calls = encode.tok, []
+
+    class Counted:
+        def encode(self, text, **how):
+            calls.append(text)
+            return whole.encode(text, **how)
+
+    encode.tok = Counted()
+    text = "Einmal übertrieb er's, dann%%% nicht.\nThe end, 1984; x-ray anne3b###"
+    ids, _ = encode.ids_of_all(pa.array([text, text + " too"]), b"")
+    want = [i for t in (text, text + " too") for i in whole.encode(t, add_special_tokens=False).ids]
+    assert np.frombuffer(ids, "<u4").tolist() == want
+    assert calls and not [c for c in calls if any(x.isalpha() for x in c) and c != "'s"]
+
+
 def test_bin_shapes_use_every_item_once_and_few_bins():
     r = random.Random(2)
     for _ in range(200):

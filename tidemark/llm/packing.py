@@ -9,6 +9,7 @@ their length and looked up in the shapes, which is a plain distributed map.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -16,11 +17,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import byte_alphabet
 from tidemark.llm.common import id_and_text, map_columns, read_table, settle
-from tidemark.llm.pieces import Pieces, cut
+from tidemark.llm.pieces import ODD, Memory, cut
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 
@@ -201,32 +204,93 @@ def assign(pieces: DataFrame, length_col: str = "length", capacity: int = 1024)
     return ranked.mapInPandas(place, f"{fields}, sequence_id long, offset long")
 
 
-_ENCODER = {}
+#: Letters and line ends, figures and marks that are sorted into pre-tokens here; pieces with others are left to the library.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(rf"[{_LETTERS}]+").fullmatch
+_SORTED = re.compile(rf"[\n!-~{_LETTERS}]+").fullmatch
+_PARTS = re.compile(rf"'(?:[sdmt]|ll|ve|re)|[{_LETTERS}]+|[0-9]+|[^\s0-9{_LETTERS}]+|\n+(?!\S)|\n+").findall
 
 
-def encoder(path: str):
-    """text -> bytes of its ids (little-endian unsigned 32-bit), by the tokenizers library with a memory of pieces."""
-    if path not in _ENCODER:
+class Encoder:
+    """text -> bytes of its ids (little-endian unsigned 32-bit), by the tokenizers library with a memory of pieces.
+
+    What is surely one pre-token goes to the library's model alone, and a piece
+    of several is put together from them; all others go the library's whole way.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.model = self.tok.model
+        self.four = [struct.pack("<I", i) for i in range(max(self.tok.get_vocab().values()) + 1)]
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)").search
+        named = {byte: c for c, byte in byte_alphabet().items()}
+        self.named = {c: "".join(named[x] for x in c.encode()) for c in map(chr, range(0x100))}
+        self.head, self.tail = Memory(lambda p: self._make(p, self.head, ""), 60_000), Memory(lambda p: self._make(p, self.tail, " "))
+
+    def _make(self, piece: str, own: Memory, before: str) -> bytes:
+        if not self.added(piece):
+            if _WORD(piece):
+                return self._word(piece, before)
+            # A leading quote may or may not begin an 's, by what is before it.
+            if _SORTED(piece) and piece[0] not in "'\n":
+                first, *rest = _PARTS(piece)
+                return own[first] + b"".join(map(self.head.__getitem__, rest)) if rest else self._word(piece, before)
+        return b"".join(map(self.four.__getitem__, self.tok.encode(before + piece, add_special_tokens=False).ids))
+
+    def _word(self, word: str, before: str) -> bytes:
+        word = before + word
+        name = self.named[" "] + word[1:] if before and word.isascii() else word if word.isascii() else "".join(map(self.named.__getitem__, word))
+        return b"".join([self.four[t.id] for t in self.model.tokenize(name)])
+
+    def __call__(self, text: str) -> bytes:
+        first, *rest = cut(text)
+        return self.head[first] + b"".join(map(self.tail.__getitem__, rest))
+
+    def ids_of_all(self, texts: pa.Array, end: bytes) -> tuple[bytes, list[int]]:
+        """The ids of all texts, each with ``end`` behind it, and where each begins and the last ends, in ids.
+
+        Each different piece is looked up once.
+        """
+        odd = pc.match_substring_regex(texts, ODD)
+        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        coded = split.flatten().dictionary_encode()
+        at = split.offsets.to_numpy() - split.offsets[0].as_py()
+        codes, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        made = list(map(self.tail.__getitem__, words))
+        heads = [self(texts[i].as_py()) if o else self.head[words[k]] for i, (k, o) in enumerate(zip(codes[at[:-1]].tolist(), odd.to_pylist(), strict=True))]
+        codes[at[:-1]] = np.arange(len(made), len(made) + len(heads))
+        made += [*heads, end]
+        codes = np.insert(codes, at[1:], len(made) - 1)
+        width = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        starts, wide = np.cumsum(width) - width, width[codes]
+        ends = np.cumsum(wide)
+        ids = np.frombuffer(b"".join(made), "<u4")[np.repeat(starts[codes] - ends + wide, wide) + np.arange(ends[-1])]
+        return ids.tobytes(), np.concatenate([[0], ends])[at + np.arange(len(at))].tolist()
 
-        def ids(text: str) -> bytes:
-            found = tok.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(found)}I", *found)
 
-        known = Pieces(ids, lambda *parts: b"".join(parts))
+_ENCODER = {}
 
-        def encode(text: str) -> bytes:
-            first, *rest = cut(text)
-            return known.head[first] + b"".join(map(known.tail.__getitem__, rest))
 
-        _ENCODER[path] = encode
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODER:
+        _ENCODER[path] = Encoder(path)
     return _ENCODER[path]
 
 
+def slices(texts: pa.Array, most: int):
+    """(first, count) of runs of texts of at most ``most`` bytes together, or of one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to - at
+        at = to
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, part, ord.
 
@@ -241,14 +305,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
 
         def step(b):
             out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encode(text) + end
-                n = len(ids) // 4
-                at, size = 0, (n - 1) % capacity + 1
-                k = 0
-                while at < n:
-                    out.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-                    at, size, k = at + size, capacity, k + 1
+            texts, names = b.column("text"), b.column("doc_id").to_pylist()
+            for first, count in slices(texts, 2_000_000):
+                ids, bounds = encode.ids_of_all(texts.slice(first, count), end)
+                for doc, low, high in zip(names[first : first + count], bounds, bounds[1:]):  # noqa: B905
+                    at, size = 0, (high - low - 1) % capacity + 1
+                    k = 0
+                    while low + at < high:
+                        out.append((doc, k, at, size, zlib.crc32(ids[4 * (low + at) : 4 * (low + at + size)])))
+                        at, size, k = at + size, capacity, k + 1
             return dict(zip(PIECES.names, zip(*out, strict=True), strict=True)) if out else dict.fromkeys(PIECES.names, [])
 
         return step

@@ -11,6 +11,8 @@ import re
 
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
+#: The same for Arrow, whose patterns look at nothing ahead and know ASCII blanks only.
+ODD = r" ([\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
 
 def cut(text: str) -> list[str]:
