@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import tempfile
 
 import numpy as np
@@ -14,6 +15,7 @@ from tidemark.functions import durations as D
 from tidemark.functions import points as P
 from tidemark.functions import rules as R
 from tidemark.operators import histogram, intervals, merge, meta, order, rank
+from tidemark.plans import registry
 from tidemark.sources import formats, tables, wire
 from tidemark.streaming import rollup
 
@@ -255,6 +257,28 @@ def test_chains_of_rewrites_stay_small(spark):
     assert d.select(R.rewrite_all(F.col("u"), steps * 2)).first()[0] == "http://a.b/z/y" and size(2) == 2 * size(1)
 
 
+def test_rewrites_split_urls_as_one_pattern_does(spark):
+    whole = re.compile(r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?")
+    r, some = random.Random(5), ["http", "s", "://", ":", "80", "/", "/", "a", "b.c", "?", "&", "x=1", "#", "é", "\n", "", "+", "-"]
+    urls = ["".join(r.choice(some) for _ in range(r.randint(0, 9))) for _ in range(400)] + ["http://" + "".join(r.choice(some) for _ in range(r.randint(0, 9))) for _ in range(1200)] + [None]
+    u = F.col("u")
+    d = spark.createDataFrame([(x,) for x in urls], "u string").select("u", R.rewrite(u, "scheme", "set", "x").alias("scheme"), R.rewrite(u, "hostname", "set", "H").alias("host"), R.rewrite(u, "port", "set", "9").alias("port"), R.rewrite(u, "path", "set", "/P").alias("path"), R.rewrite(u, "params", "set", "q").alias("params"), R.rewrite(u, "host", "replace", "b", "B").alias("both"))
+    for row in d.collect():
+        m = whole.match(row.u or "")
+        if not m:
+            assert tuple(row) == (row.u,) * 7
+            continue
+        scheme, host, port, path, query = ((g or "") for g in m.groups())
+        join = lambda s=scheme, h=host, p=port, a=path, q=query: s + "://" + h + p + a + (q if q != "?" else "")
+        assert tuple(row)[1:] == (join(s="x"), join(h="H"), join(p=":9"), join(a="/P"), join(q="?q"), join(h=host.replace("b", "B"))), row.u
+
+
+def test_rewrites_match_few_patterns_and_are_spread(spark):
+    plan = spark.createDataFrame([("http://a.b:80/x/y?k=1",)], "u string").select(R.rewrite(F.col("u"), "port", "delete").alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_extract") + plan.count("rlike") <= 2
+    assert registry.queries()["url_rewrites"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_range_guard_and_union():
     D.check_range(0, 10, 10)
     D.check_range(0, 10, 0)

@@ -98,11 +98,27 @@ def decide_each(value: Column, cases: list[tuple[Column, str]], default: str) ->
     return reduce(lambda rest, c: F.when(c[0] == "true", F.lit(c[1])).otherwise(rest), cases, F.lit(default))
 
 
-_URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?"
+def _split(url: Column, body) -> Column:
+    """``body`` of a URL's scheme, host, port, path and query, each worked out once; of '://' there must be one. What is behind '#' is dropped."""
+    scheme = F.substring_index(url, "://", 1)
+    rest = F.substring_index(F.substr(url, F.length(scheme) + 4), "#", 1)
+    # By string functions: a pattern with a group for each part is matched anew for every group.
+    named = lambda u: F.struct(scheme.alias("scheme"), u.alias("rest"), F.substring_index(u, "?", 1).alias("plain"))
+    hosted = lambda r: F.struct(r["scheme"].alias("scheme"), r["rest"].alias("rest"), r["plain"].alias("plain"), F.substring_index(F.substring_index(r["plain"], "/", 1), ":", 1).alias("host"))
+    behind = lambda r: F.substr(r["plain"], F.length(r["host"]) + 1)
+    ported = lambda r: F.struct(r.alias("r"), behind(r).alias("behind"), F.regexp_extract(behind(r), "^:([0-9]+)", 1).alias("port"))
+
+    def parts(x: Column) -> Column:
+        r = x["r"]
+        path = F.when(x["port"] == "", x["behind"]).otherwise(F.substr(x["behind"], F.length(x["port"]) + 2))
+        return body(r["scheme"], r["host"], x["port"], path, F.substr(r["rest"], F.length(r["plain"]) + 2))
+
+    return once(rest, lambda u: once(named(u), lambda r: once(hosted(r), lambda h: once(ported(h), parts))))
 
 
 def _join(scheme: Column, host: Column, port: Column, path: Column, query: Column) -> Column:
-    return F.concat(scheme, F.lit("://"), host, F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    led = lambda mark, text: once(text, lambda t: F.when(t != "", F.concat(F.lit(mark), t)).otherwise(""))
+    return F.concat(scheme, F.lit("://"), host, led(":", port), path, led("?", query))
 
 
 def rewrite(url: Column, part: str, how: str, *args: str) -> Column:
@@ -114,9 +130,11 @@ def rewrite(url: Column, part: str, how: str, *args: str) -> Column:
     path segment alone, from 0. param takes its name first; its 'replace' and
     'delete' may be held to one value.
     """
-    g = lambda i: F.regexp_extract(url, _URL, i)
-    scheme, host, path, query = g(1), g(2), g(4), F.substr(g(5), F.lit(2))
-    port = F.substr(g(3), F.lit(2))
+    held = lambda u: F.when(u.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), _split(u, lambda *parts: _rewrite_parts(*parts, part, how, *args))).otherwise(u)
+    return once(url, held)
+
+
+def _rewrite_parts(scheme: Column, host: Column, port: Column, path: Column, query: Column, part: str, how: str, *args: str) -> Column:
     edit = lambda old: F.lit(args[0]) if how == "set" else F.replace(old, F.lit(args[0]), F.lit(args[1])) if how == "replace" else F.lit("")
     if part == "scheme":
         scheme = edit(scheme)
@@ -125,7 +143,7 @@ def rewrite(url: Column, part: str, how: str, *args: str) -> Column:
     elif part == "port":
         port = edit(port)
     elif part == "host":
-        both = edit(F.concat(host, g(3)))
+        both = edit(F.when(port == "", host).otherwise(F.concat(host, F.lit(":"), port)))
         host, port = F.substring_index(both, ":", 1), F.regexp_extract(both, ":([0-9]+)$", 1)
     elif part == "path":
         depth = args[1 if how == "set" else 2] if len(args) > (1 if how == "set" else 2) else None
@@ -138,7 +156,7 @@ def rewrite(url: Column, part: str, how: str, *args: str) -> Column:
         query = edit(query)
     else:
         query = _rewrite_param(query, how, *args)
-    return F.when(url.rlike(_URL), _join(scheme, host, port, path, query)).otherwise(url)
+    return _join(scheme, host, port, path, query)
 
 
 def _rewrite_param(query: Column, how: str, name: str, *args: str) -> Column:
@@ -159,7 +177,7 @@ def _rewrite_param(query: Column, how: str, name: str, *args: str) -> Column:
 
 def rewrite_all(url: Column, steps: list[tuple]) -> Column:
     """A chain of rewrites, each on the outcome of the one before, which is worked out once."""
-    return reduce(lambda u, step: once(u, lambda x: rewrite(x, *step)), steps, url)
+    return reduce(lambda u, step: rewrite(u, *step), steps, url)
 
 
 def rewrite_header(headers: Column, how: str, name: str, *args: str) -> Column:

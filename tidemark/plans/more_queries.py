@@ -454,7 +454,9 @@ def rule_captures(spark, d):
 
 
 def _urls(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("http://h"), F.col("p_size"), F.lit(".example:80/a/"), F.col("p_partkey"), F.lit("/c?x=1&y="), F.col("p_size")).alias("url"))
+    """A URL of each part, dealt out anew: the table is few bytes, so its file is read by one or two tasks."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return table(spark, d, "part").select("p_partkey", "p_size").repartition(tasks, "p_partkey").select("p_partkey", F.concat(F.lit("http://h"), F.col("p_size"), F.lit(".example:80/a/"), F.col("p_partkey"), F.lit("/c?x=1&y="), F.col("p_size")).alias("url"))
 
 
 @query("""SELECT p_partkey, 'https://h' || p_size || '.example:443/a/' || p_partkey || '/c?x=1&y=' || p_size AS secure, 'http://other:8080/z/' || p_partkey || '/c?y=' || p_size || '&x=2' AS moved,
